@@ -17,6 +17,8 @@ WORDS, BANDS, ROWS, SIMILAR = 5, 32, 4, 75
 REGISTERS = BANDS * ROWS
 #: the sketch: base, rate and number of levels; levels fit 16 bits
 BASE, RATE, LEVELS = 1.001, 20.0, (1 << 16) - 2
+#: members of a block, and elements of a matrix, in the comparison of blocks
+BLOCK, COLUMNS = 256, 4_096
 #: an estimate below this is more than five standard errors from SIMILAR percent
 ESTIMATE = 0.5
 _rng = np.random.default_rng(20240501)
@@ -173,13 +175,81 @@ def confirm(pairs: DataFrame, full: DataFrame, similar: int = SIMILAR) -> DataFr
     return common.stored(both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b", "z_a", "z_b").mapInArrow(check, "a long, b long"))
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two short lists of sets, by products of 0/1 matrices over COLUMNS elements at a time."""
+    parts = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (left, right)]
+    rows = [np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (left, right)]
+    both = np.intersect1d(*parts)
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(both):
+        return out
+    at = []
+    for k in range(2):
+        place = np.minimum(np.searchsorted(both, parts[k]), len(both) - 1)
+        hit = both[place] == parts[k]
+        rows[k], place = rows[k][hit], place[hit]
+        order = np.argsort(place, kind="stable")
+        rows[k] = rows[k][order]
+        at.append(place[order])
+    for low in range(0, len(both), COLUMNS):
+        m = []
+        for k, n in enumerate((len(left), len(right))):
+            s, e = np.searchsorted(at[k], (low, low + COLUMNS))
+            m.append(np.zeros((n, min(COLUMNS, len(both) - low)), np.float32))
+            m[k][rows[k][s:e], at[k][s:e] - low] = 1
+        out += m[0] @ m[1].T
+    return out
+
+
+def across(members: DataFrame, full: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """Links (a, b) between different components of each band, one for any two components and block at most.
+
+    members has (band, id, component, main, n, n_aside). Those outside a band's main component are dealt into blocks of
+    about BLOCK, and so are all members; every pair of such blocks is one piece of work, so that no band, however hot,
+    meets in one task, and no pair of documents is a row.
+    """
+    blocks = members.withColumn("_a", (F.col("n_aside") / BLOCK + 1).cast("int")).withColumn("_b", (F.col("n") / BLOCK + 1).cast("int"))
+    cells = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    texts = blocks.join(full.select("id", "n", "z").withColumnRenamed("n", "_n"), "id")
+    left = texts.where("component <> main").select("band", F.pmod(F.xxhash64("id"), F.col("_a")).cast("int").alias("i"), F.explode(cells("_b")).alias("j"), F.lit(0).alias("side"), "id", "component", "_n", "z")
+    right = texts.select("band", F.explode(cells("_a")).alias("i"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("_b")).cast("int").alias("j"), F.lit(1).alias("side"), "id", "component", "_n", "z")
+    dealt = left.unionByName(right).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "side", "id")
+
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        cut = sum(r[0] == 0 for r in rows)
+        if not 0 < cut < len(rows):
+            return []
+        raw = [zlib.decompress(r[4]) for r in rows]
+        h, row = shingles(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        sets = np.split(h, np.searchsorted(row, np.arange(1, len(rows))))
+        meet = overlaps(sets[:cut], sets[cut:])
+        n, of, ids = np.array([len(x) for x in sets], np.float32), np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+        found = np.argwhere((100 * meet >= similar * (n[:cut, None] + n[None, cut:] - meet)) & (of[:cut, None] != of[None, cut:]))
+        pairs = {(of[i], of[cut + j]): (int(ids[i]), int(ids[cut + j])) for i, j in found}
+        return list(pairs.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, found = None, [], []
+        for b in batches:
+            for r in zip(*[b.column(c).to_pylist() for c in ("band", "i", "j", "side", "id", "component", "_n", "z")], strict=True):
+                if r[:3] != now:
+                    found += links(rows)
+                    now, rows = r[:3], []
+                rows.append(r[3:])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            found = []
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links(rows)], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return common.stored(dealt.mapInArrow(run, "a long, b long").distinct())
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each row's key with n_shingles, component_id (least key reachable by links) and kept (key = component_id).
 
     Equal sets are one class, found by aggregate. Classes whose sketches share a band are compared with the band's least
-    member first, which makes groups of copies whole in one round; then, in bands that still hold several components,
-    with pivots that double in number until every member is one: no pair of two components in a band goes untested, and
-    pairs inside a component need no test. With 32 bands of 4 registers a pair of similarity 0.75 shares no band with
+    member first, which makes most groups of copies whole; then, in bands that still hold several components, all members
+    outside the main one are compared with all members, block by block: no pair of two components in a band goes untested,
+    and pairs inside a component need no test. With 32 bands of 4 registers a pair of similarity 0.75 shares no band with
     probability 5e-6. Documents without words, and rows without key, are linked with nothing; the latter's component is
     null and kept is true. Rows with the same key are one document for links. Other columns are dropped.
     """
@@ -193,22 +263,13 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     full = candidates(live.select(F.explode(F.array("id", "least")).alias("id")), classes, docs, key, text)
     edges = confirm(live.where("least <> id").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), full)
     linked = components(edges)
-    pivots, rest = 8, live.where("size > 2").select("band", "id", "size")
-    while True:
-        labelled = rest.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = labelled.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("band")
-        open_ = common.stored(labelled.join(mixed, "band"))
-        if open_.isEmpty():
-            break
-        chance = F.pmod(F.xxhash64("id", "band", F.lit(pivots)), F.lit(1 << 20)) * F.col("size") < F.lit(pivots << 20)
-        chosen = open_.where(chance).select("band", F.col("id").alias("p"), F.col("component").alias("pc"))
-        pairs = open_.join(chosen, "band").where("component <> pc").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        new = confirm(pairs, full)
-        if not new.isEmpty():
-            edges = common.stored(edges.unionByName(new).distinct())
-            linked = components(edges)
-        rest = open_.where(F.col("size") > pivots).select("band", "id", "size")
-        pivots *= 8
+    shared = live.where("size > 2").select("band", "id").join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = shared.groupBy("band").agg(F.min("component").alias("main"), F.max("component").alias("other"), F.count("*").alias("n")).where("main <> other").select("band", "main", "n")
+    rest = shared.join(mixed, "band")
+    aside = rest.where("component <> main").groupBy("band").agg(F.count("*").alias("n_aside"))
+    new = across(rest.join(aside, "band"), full)
+    if not new.isEmpty():
+        linked = components(edges.unionByName(new))
     of = classes.select("s1", "s2", "id").join(linked.withColumnRenamed("node", "id"), "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("_c"))
     own = known.join(of, ["s1", "s2"], "left")
     label = F.when(F.col("n") > 0, F.col("_c")).otherwise(F.col(key))
