@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import re
@@ -160,3 +161,9 @@ class Ids(dict):
         self.learn(set().union(*pieces))
         look = self.__getitem__
         return [b"".join(map(look, p)) if ok else np.array(self.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x, ok, p in zip(texts, plain, pieces, strict=True)]
+
+
+@functools.lru_cache(1)
+def ids_of(path: str) -> Ids:
+    """One cache for all tasks of a worker process."""
+    return Ids(path)

@@ -95,9 +95,9 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END, key
     common.ship(spark)
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .bpe import Ids
+        from .bpe import ids_of
 
-        ids, part = Ids(vocabulary), TaskContext.get().partitionId()
+        ids, part = ids_of(vocabulary), TaskContext.get().partitionId()
         ranks = np.zeros(size + 1, np.int64)
         mark = int(end).to_bytes(4, "little")
         for b in batches:
