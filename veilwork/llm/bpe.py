@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-#: fixed values: the pre-token pattern of byte-level BPE vocabularies, for texts in PLAIN characters
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: fixed values: the pre-token pattern of byte-level BPE vocabularies, for texts without ODD characters; letters come first,
+#: which changes no match as no other alternative starts with one
+PIECES = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: characters in which `re` and the tokenizer's own pattern agree; other texts are split by the tokenizer itself
 ODD = re.compile("[^\t\n\r\x20-\x7eÀ-ɏ¡«»¿–—‘’“”…]")
-CACHE = 700_000
+CACHE, KEPT = 700_000, 1_200_000
 
 
 def _alphabet() -> dict[int, int]:
@@ -33,6 +34,8 @@ def _alphabet() -> dict[int, int]:
 
 
 ALPHABET = _alphabet()
+#: the same, where byte 0 stands between pre-tokens
+JOINED = ALPHABET | {0: " "}
 
 
 class Counts(dict):
@@ -132,34 +135,43 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", limit: in
     return kept.mapInPandas(run, schema)
 
 
-class Ids(dict):
-    """Pre-token -> its ids as little-endian unsigned 32-bit bytes; at most CACHE entries between batches."""
+class Ids:
+    """Pre-token -> its ids as little-endian unsigned 32-bit bytes; at most KEPT entries between batches."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}  # a plain dict: sets subtract it without walking it
+        # the same model for pre-tokens that are already in the printable alphabet, one blank apart
+        self.model = Tokenizer.from_file(path)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        names = self.library.get_vocab()
+        self.size = np.zeros(max(names.values()) + 1, np.int64)
+        for name, k in names.items():
+            self.size[k] = len(name)
 
     def learn(self, pieces: set[str]) -> None:
-        new = list(pieces.difference(self))
-        if len(self) + len(new) > CACHE:
-            self.clear()
+        new = list(pieces.difference(self.known))
+        if len(self.known) + len(new) > KEPT:
+            self.known.clear()
             new = list(pieces)
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            got = self.library.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
-            cut = np.searchsorted(np.array(got.word_ids), np.arange(len(some) + 1))
-            raw = ids.tobytes()
-            for j, w in enumerate(some):
-                self[w] = raw[4 * cut[j] : 4 * cut[j + 1]]
+        for k in range(0, len(new), 8192):
+            some = new[k : k + 8192]
+            raw = "\0".join(some).encode()
+            ids = np.array(self.model.encode(raw.decode("latin-1").translate(JOINED), add_special_tokens=False).ids, "<u4")
+            ends = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == 0), len(raw)) - np.arange(len(some))
+            cut = [0, *(4 * np.searchsorted(np.cumsum(self.size[ids]), ends) + 4).tolist()]
+            out = ids.tobytes()
+            for w, low, high in zip(some, cut, cut[1:], strict=False):
+                self.known[w] = out[low:high]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The library's ids of each text, by way of pre-tokens; texts with rare characters or special strings go to it whole."""
         plain = [not ODD.search(x) and "<|" not in x for x in texts]
         pieces = [PIECES.findall(x) if ok else [] for x, ok in zip(texts, plain, strict=True)]
         self.learn(set().union(*pieces))
-        look = self.__getitem__
+        look = self.known.__getitem__
         return [b"".join(map(look, p)) if ok else np.array(self.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x, ok, p in zip(texts, plain, pieces, strict=True)]
 
 
