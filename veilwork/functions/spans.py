@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: private-use marks; they are taken out of texts before matching
@@ -12,6 +12,17 @@ OPEN, CLOSE = "\ue000", "\ue001"
 SPAN = "array<struct<s:int,e:int,v:string>>"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: a lambda's variable is not written out again at each use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def held(df: DataFrame, *columns: str) -> DataFrame:
+    """df with these columns computed once: later stages cannot write their expressions out again."""
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.explode(F.array(F.struct(*columns))).alias("_held")).select(*rest, *[F.col("_held")[c].alias(c) for c in columns])
+
+
 def find_all(text: Column, pattern: str, first: str | None = None) -> Column:
     """array<struct<s, e, v>> of all matches of a Java pattern, offsets in code points, e exclusive.
 
@@ -19,15 +30,17 @@ def find_all(text: Column, pattern: str, first: str | None = None) -> Column:
     pattern without which the text holds no match.
     """
     marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}"))
-    parts = F.split(marked, OPEN, -1)
-    start = F.struct(F.char_length(F.get(parts, F.lit(0))).alias("at"), F.array().cast(SPAN).alias("out"))
 
     def step(a: Column, part: Column) -> Column:
         v = F.substring_index(part, CLOSE, 1)
         span = F.struct(a["at"].alias("s"), (a["at"] + F.char_length(v)).alias("e"), v.alias("v"))
         return F.struct((a["at"] + F.char_length(part) - 1).alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
 
-    folded = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, step, lambda a: a["out"])
+    def fold(parts: Column) -> Column:
+        start = F.struct(F.char_length(F.get(parts, F.lit(0))).alias("at"), F.array().cast(SPAN).alias("out"))
+        return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, step, lambda a: a["out"])
+
+    folded = bound(F.split(marked, OPEN, -1), fold)
     return F.when(text.rlike(first or pattern), folded).otherwise(F.array().cast(SPAN))
 
 

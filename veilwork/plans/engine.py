@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import spans as S
 from ..operators import policy, pseudonyms, redact, resolve
 from ..operators.detect import detected
 
@@ -20,7 +21,8 @@ class Result:
 
 def spans(blocks: DataFrame) -> DataFrame:
     """Blocks with `spans`, detected, merged and resolved in one narrow stage."""
-    return detected(blocks).withColumn("spans", resolve.merged(F.col("found"))).drop("found").withColumn("spans", resolve.resolved(F.col("spans")))
+    rows = S.held(detected(blocks).withColumn("spans", resolve.merged(F.col("found"))).drop("found"), "spans")
+    return S.held(rows.withColumn("spans", F.when(F.size("spans") > 1, resolve.resolved(F.col("spans"))).otherwise(F.col("spans"))), "spans")
 
 
 def records(blocks: DataFrame, company_scope: str = "protect", decisions: DataFrame | None = None) -> DataFrame:
