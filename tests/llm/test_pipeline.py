@@ -27,3 +27,19 @@ def test_empty_tables(spark):
     docs = spark.read.parquet(f"{d}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, docs, d).count() == 0
+
+
+def test_queries_equal_their_sql(spark):
+    import duckdb
+
+    from veilwork.llm import queries as Q
+
+    d, c = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "benchmark", "pages", "labels"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    for name, sql in Q.ORACLES.items():
+        df = Q.QUERIES[name](spark, d)
+        r = c.execute(sql)
+        names = [x[0] for x in r.description]
+        got = sorted(tuple(x) for x in df.select(*names).collect())
+        assert sorted(df.columns) == sorted(names) and got == sorted(r.fetchall()), name
