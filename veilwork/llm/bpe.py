@@ -19,7 +19,7 @@ from . import common
 PIECES = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: characters in which `re` and the tokenizer's own pattern agree; other texts are split by the tokenizer itself
 ODD = re.compile("[^\t\n\r\x20-\x7eÀ-ɏ¡«»¿–—‘’“”…]")
-CACHE, KEPT = 700_000, 1_200_000
+CACHE, KEPT = 700_000, 500_000
 
 
 def _alphabet() -> dict[int, int]:
