@@ -14,6 +14,9 @@ DOB_CONTEXT = ("dob", "date of birth", "born on", "birth date")
 BANK_CONTEXT = ("account", "bank account", "beneficiary", "bank details")
 KNOWN_PERSONS = ("Kushal Subbayya Hegde", "Pushpa Kushal Hegde", "Rajesh Kushal Hegde", "Rohit Kushal Hegde", "Rakhi Girija Shetty", "Pushpa Hegde")
 
+#: in the text of an image, signs of an identity document
+IDENTITY_TERMS = ("date of birth", "dob", "permanent account number", "aadhaar", "unique identification", "father", "signature", "income tax", "government of india", "address")
+
 MONTHS = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
 EMAIL = r"\b[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+\b"
 COMPANY = r"\b[A-Z][A-Za-z0-9&.'()/-]*(?:\s+[A-Z][A-Za-z0-9&.'()/-]*){0,8}\s+(?:Private\s+Limited|Pvt\.?\s+Ltd\.?|Limited|Ltd\.?|LLP|Inc\.?|Corporation|Corp\.?)\b"

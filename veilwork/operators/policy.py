@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import ACTIONS, CORPORATE
+from ..functions.spans import normalized
 
 
 def with_policy(records: DataFrame, company_scope: str = "protect") -> DataFrame:
@@ -27,7 +28,9 @@ def _hashed(prefix: str, text: Column) -> Column:
 
 
 def with_identity(records: DataFrame) -> DataFrame:
-    """identity_id: one person (then one company) in a block lends its id to the block's other records."""
+    """identity_id: one person (then one company) in a block lends its id to the block's other records; an id that a decision
+    gave stays, but for anchors and for personal records beside one person."""
+    given = F.col("identity_id") if "identity_id" in records.columns else F.lit(None).cast("string")
     block = Window.partitionBy("block_id")
     person, org = _hashed("person-", F.col("normalized_text")), _hashed("org-", F.col("normalized_text"))
     anchors = lambda t: F.sum(F.when(F.col("pii_type") == t, 1).otherwise(0)).over(block)
@@ -36,7 +39,7 @@ def with_identity(records: DataFrame) -> DataFrame:
     personal = F.col("pii_type").isin("EMAIL", "PHONE", "ADDRESS", "SSN", "CREDIT_CARD", "DOB", "IPV4", "PAN", "AADHAAR", "PASSPORT")
     corporate = F.col("pii_type").isin("CIN", "GSTIN", "IFSC", "EMAIL", "PHONE", "ADDRESS")
     own = F.when(F.col("pii_type").isin(*CORPORATE), _hashed("org-", typed)).otherwise(_hashed("entity-", typed))
-    linked = F.coalesce(F.when(personal, only("PERSON", person)), F.when(corporate, only("COMPANY", org)), own)
+    linked = F.coalesce(F.when(personal, only("PERSON", person)), given, F.when(corporate, only("COMPANY", org)), own)
     return records.withColumn("identity_id", F.when(F.col("pii_type") == "PERSON", person).when(F.col("pii_type") == "COMPANY", org).otherwise(linked))
 
 
@@ -53,15 +56,39 @@ def checked(decisions: DataFrame, source_hash: str | None = None) -> DataFrame:
     return out if source_hash is None else out.where(F.assert_true(F.col("source_hash") == source_hash, "decision for another source").isNull())
 
 
-def decided(records: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Records with the last decision on each applied: review_status, policy_action, policy_locked, pii_type, identity_id, decision."""
-    d = latest(decisions).select("record_id", F.col("action").alias("decision"), "new_type", F.col("identity_id").alias("_identity"))
-    rows = records.join(d, "record_id", "left")
-    a = F.col("decision")
-    status = F.when(a.isin("APPROVE", "REDACT", "PROTECT", "ADJUST_SPAN", "LINK_IDENTITY", "UNLINK_IDENTITY", "FORCE_MEDIA_REPLACEMENT"), "APPROVED").when((a == "RETYPE") & F.col("new_type").isNotNull(), "APPROVED").when(a.isin("IGNORE", "REJECT_AS_NON_PII", "CLEAR_MEDIA"), "REJECTED").otherwise(F.col("review_status"))
+_OPTIONAL = {"new_type": "string", "identity_id": "string", "note": "string", "new_start_offset": "int", "new_end_offset": "int"}
+PRIVACY_FIRST = "Privacy-first finalization:"
+
+
+def decided(records: DataFrame, decisions: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """Records with the last decision on each applied, and the columns decision, policy_action, policy_locked, identity_id.
+
+    Each decision adds evidence of score 1.0, of source POLICY if its note starts with PRIVACY_FIRST, else HUMAN_REVIEW; the
+    confidence stays. RETYPE without a type and LINK_IDENTITY without an id change nothing else. ADJUST_SPAN stops the query
+    where its offsets are missing or wrong; with blocks, the text is cut anew. Columns that decisions lack are null.
+    """
+    more = [(F.col(c) if c in decisions.columns else F.lit(None)).cast(t).alias(f"_{c}") for c, t in _OPTIONAL.items()]
+    rows = records.join(latest(decisions).select("record_id", F.col("action").alias("decision"), *more), "record_id", "left")
+    a, s, e = F.col("decision"), F.col("_new_start_offset"), F.col("_new_end_offset")
+    moved, typed, linked = F.coalesce(a == "ADJUST_SPAN", F.lit(False)), (a == "RETYPE") & F.col("_new_type").isNotNull(), (a == "LINK_IDENTITY") & F.col("_identity_id").isNotNull()
+    out = {}
+    if blocks is not None:
+        text = blocks.select(F.col("block_id").alias("_block"), F.col("text").alias("_text"))
+        rows = rows.join(text, (F.col("block_id") == F.col("_block")) & moved, "left")
+        cut = F.substring("_text", s + 1, e - s)
+        known = moved & F.col("_text").isNotNull()
+        out = {"original_text": F.when(known, cut).otherwise(F.col("original_text")), "normalized_text": F.when(known, normalized(cut)).otherwise(F.col("normalized_text"))}
+        fits = F.coalesce(e <= F.char_length("_text"), F.lit(True))
+    else:
+        fits = F.lit(True)
+    right = F.coalesce((s >= 0) & (s < e) & fits, F.lit(False))
+    place = lambda new, old: F.when(~moved, F.col(old)).when(right, new).otherwise(F.raise_error(F.lit("ADJUST_SPAN: offsets are missing or wrong")).cast("int"))
+    status = F.when(a.isin("APPROVE", "REDACT", "PROTECT", "ADJUST_SPAN", "UNLINK_IDENTITY", "FORCE_MEDIA_REPLACEMENT", "CLEAR_MEDIA") | typed | linked, "APPROVED").when(a.isin("IGNORE", "REJECT_AS_NON_PII"), "REJECTED").otherwise(F.col("review_status"))
     action = F.when(a.isin("REDACT", "FORCE_MEDIA_REPLACEMENT"), "REDACT").when(a == "PROTECT", "PROTECT").when(a.isin("IGNORE", "CLEAR_MEDIA"), "IGNORE")
-    kind = F.when((a == "RETYPE") & F.col("new_type").isNotNull(), F.col("new_type")).otherwise(F.col("pii_type"))
-    return rows.withColumns({"review_status": status, "policy_action": action, "policy_locked": action.isNotNull(), "pii_type": kind}).drop("new_type", "_identity")
+    by_policy = F.coalesce(F.col("_note").startswith(PRIVACY_FIRST), F.lit(False))
+    said = F.struct(F.when(by_policy, "POLICY").otherwise("HUMAN_REVIEW").alias("source"), F.concat(F.when(by_policy, "policy_").otherwise("human_"), F.lower(a)).alias("name"), F.lit(1.0).alias("score"))
+    out |= {"evidence": F.when(a.isNotNull(), F.concat("evidence", F.array(said))).otherwise(F.col("evidence")), "review_status": status, "policy_action": action, "policy_locked": action.isNotNull(), "pii_type": F.when(typed, F.col("_new_type")).otherwise(F.col("pii_type")), "identity_id": F.when(linked, F.col("_identity_id")), "start_offset": place(s, "start_offset"), "end_offset": place(e, "end_offset")}
+    return rows.withColumns(out).drop("_block", "_text", *[f"_{c}" for c in _OPTIONAL])
 
 
 def upserted(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -241,7 +241,7 @@ def _plain(spark, sf_dir):
 
 
 @_query(O.RESOLVED + f""", {_LATEST} SELECT record_id, CASE WHEN action = 'RETYPE' AND new_type <> '-' THEN new_type ELSE pii_type END AS pii_type,
-  CASE WHEN action IN ('APPROVE', 'REDACT', 'PROTECT', 'UNLINK_IDENTITY') OR (action = 'RETYPE' AND new_type <> '-') THEN 'APPROVED' WHEN action IN ('IGNORE', 'REJECT_AS_NON_PII', 'CLEAR_MEDIA') THEN 'REJECTED' ELSE review_status END AS review_status,
+  CASE WHEN action IN ('APPROVE', 'REDACT', 'PROTECT', 'UNLINK_IDENTITY', 'CLEAR_MEDIA') OR (action = 'RETYPE' AND new_type <> '-') THEN 'APPROVED' WHEN action IN ('IGNORE', 'REJECT_AS_NON_PII') THEN 'REJECTED' ELSE review_status END AS review_status,
   CASE WHEN action = 'REDACT' THEN 'REDACT' WHEN action = 'PROTECT' THEN 'PROTECT' WHEN action IN ('IGNORE', 'CLEAR_MEDIA') THEN 'IGNORE' END AS policy_action FROM recs LEFT JOIN last USING (record_id)""")
 def apply_review_decisions(spark, sf_dir):
     rows = _plain(spark, sf_dir)

@@ -221,18 +221,64 @@ def media(packages: DataFrame) -> DataFrame:
     return packages.mapInPandas(run, "document string, media_name string, source_sha256 string, readable boolean, width int, height int, small_square boolean")
 
 
-def redacted(packages: DataFrame, records: DataFrame) -> DataFrame:
-    """(document, content) with every replacement of the records written into its package."""
-    spans = records.where("replacement_value IS NOT NULL").groupBy("document").agg(F.collect_list(F.struct("block_id", "start_offset", "end_offset", "replacement_value")).alias("spans"))
+def redacted(packages: DataFrame, records: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """(document, content) with every replacement of the records written into its package, and each image of `images`
+    (document, media_name, width, height) replaced by a placeholder."""
+    spans = records.where("replacement_value IS NOT NULL AND NOT contains(block_id, '!media:')").groupBy("document").agg(F.collect_list(F.struct("block_id", "start_offset", "end_offset", "replacement_value")).alias("spans"))
+    rows = packages.join(spans, "document", "left")
+    if images is None:
+        rows = rows.withColumn("images", F.lit(None).cast("array<struct<media_name:string,width:int,height:int>>"))
+    else:
+        rows = rows.join(images.groupBy("document").agg(F.collect_list(F.struct("media_name", "width", "height")).alias("images")), "document", "left")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from .media import placeholder
+
         for f in parts:
             out = []
-            for d, c, some in zip(f["document"], f["content"], f["spans"], strict=True):
+            for d, c, some, swaps in zip(f["document"], f["content"], f["spans"], f["images"], strict=True):
                 by: dict[str, list] = {}
                 for x in some if some is not None else ():
                     by.setdefault(x["block_id"].removeprefix(f"{d}!"), []).append((x["start_offset"], x["end_offset"], x["replacement_value"]))
-                out.append(rewritten(c, by))
+                out.append(rewritten(c, by, {x["media_name"]: placeholder(x["media_name"], x["width"], x["height"]) for x in (swaps if swaps is not None else ())}))
             yield pd.DataFrame({"document": f["document"], "content": out})
 
-    return packages.join(spans, "document", "left").mapInPandas(run, "document string, content binary")
+    return rows.mapInPandas(run, "document string, content binary")
+
+
+KINDS = ("p", "tbl", "tr", "tc", "sectPr", "drawing", "hdr", "ftr")
+
+
+def structure(packages: DataFrame) -> DataFrame:
+    """(document, kind, n): elements of each kind in a package's parts; redaction must leave these counts as they are."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in parts:
+            rows = []
+            for d, c in zip(f["document"], f["content"], strict=True):
+                n = dict.fromkeys(KINDS, 0)
+
+                def start(name: str, attributes: dict, n: dict = n) -> None:
+                    space, _, kind = name.rpartition(" ")
+                    if space == W and kind in n:
+                        n[kind] += 1
+
+                with zipfile.ZipFile(io.BytesIO(c)) as z:
+                    for part in z.namelist():
+                        if part.startswith("word/") and part.endswith(".xml"):
+                            parser = expat.ParserCreate(namespace_separator=" ")
+                            parser.StartElementHandler = start
+                            try:
+                                parser.Parse(z.read(part), True)
+                            except expat.ExpatError:
+                                continue
+                rows += [(d, k, v) for k, v in n.items()]
+            yield pd.DataFrame(rows, columns=["document", "kind", "n"])
+
+    return packages.mapInPandas(run, "document string, kind string, n long")
+
+
+def structure_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(document, kind, n_before, n_after) where the counts of two sets of packages differ."""
+    old, new = (structure(p).withColumnRenamed("n", c) for p, c in ((before, "n_before"), (after, "n_after")))
+    return old.join(new, ["document", "kind"], "full").where(~F.col("n_before").eqNullSafe(F.col("n_after")))
