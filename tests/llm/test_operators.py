@@ -111,6 +111,39 @@ def test_lm_scoring_matches_brute_force(spark, docs, none):
     assert lm.score(docs, target.limit(0)).count() == len(corpus())
 
 
+def test_lm_scoring_knows_every_word(spark, docs, none):
+    asked = [prose(1, 40), None, "one three"]
+    target = spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")
+    got = {(r.doc_id, r.n_tokens): r for r in lm.whole_score(docs, target).collect()}
+    texts = [[[w.decode() for w in low(t).encode().split()] for t in some] for some in (asked, [t for _, t in corpus()])]
+    different = len({w for some in texts for t in some for w in t})
+
+    def losses(some):
+        two = Counter((a, b) for t in some for a, b in zip(["", *t], t, strict=False))
+        one, of = Counter(w for t in some for w in t), Counter()
+        for (a, _), n in two.items():
+            of[a] += n
+        for (k, _), t in zip(corpus(), texts[1], strict=True):
+            ps = [((one[b] + 1) / (sum(one.values()) + different), two[a, b], of[a]) for a, b in zip(["", *t], t, strict=False)]
+            yield (k, len(t)), -sum(math.log(0.7 * n / m + 0.3 * p if m else p) for p, n, m in ps) / max(1, len(t))
+
+    want = [dict(losses(some)) for some in texts]
+    assert len(want[0]) == len(got)
+    for k, r in got.items():
+        assert (r.target_loss, r.background_loss, r.score) == pytest.approx((want[0][k], want[1][k], want[0][k] - want[1][k]), abs=1e-9)
+    assert lm.whole_score(none, target).count() == 0
+    assert lm.whole_score(docs, target.limit(0)).count() == len(corpus())
+
+
+def test_lm_query_tells_apart_words_outside_the_benchmark(spark, tmp_path):
+    rows = [(k, "common start") for k in range(20)] + [(100, "frequent frequent frequent"), (101, "zebra quince ibex")]
+    rows += [(k, "frequent frequent frequent") for k in range(30, 40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "benchmark words only")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.doc_id: r.background_loss for r in queries.op1_lm_scoring(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and got[101] > got[100] + 0.5
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------
 
 

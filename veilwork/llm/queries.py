@@ -16,7 +16,7 @@ def vocabulary() -> str:
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return lm.whole_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
