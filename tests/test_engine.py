@@ -148,6 +148,23 @@ def test_repeats_keep_words_and_generated_values_whole(spark):
         redact.repeats_redacted(b, r, most=0)
 
 
+def test_repeats_of_any_number_of_originals_equal_one_alternation(spark):
+    r, some = random.Random(5), ["Al", "al", "Beta", "_x", "x_", "+", "@", ".", "-", " ", " ", "é", "ſ", "99", "[T]", "_"]
+    text = lambda n: "".join(r.choice(some) for _ in range(r.randrange(1, n)))
+    table = {text(7).lower(): r.choice(["[T]", "Beta al", "é-99", "_"]) for _ in range(60)}
+    texts = [text(40) for _ in range(150)] + ["a77.b was at A100000.B"]
+    b = blocks(spark, *texts).withColumn("redacted", F.col("text"))
+    rows = spark.createDataFrame([(f"d#p{i}", 0, k, v) for i, (k, v) in enumerate(table.items())], "block_id string, start_offset int, original_text string, replacement_value string")
+    many = spark.range(100_001).selectExpr("'z' AS block_id", "0 AS start_offset", "concat('A', id, '.b') AS original_text", "'[T]' AS replacement_value")
+    own = {v.lower() for v in table.values()} | {"[t]"}
+    table |= {f"a{k}.b": "[T]" for k in (77, 100_000)}
+    edge = lambda w: (r"(?<!\w)" if w[:1].isalnum() else "") + re.escape(w) + (r"(?!\w)" if w[-1:].isalnum() else "")
+    pattern = re.compile("|".join(map(edge, sorted({*table, *own}, key=lambda w: (-len(w), w)))), re.IGNORECASE)
+    swap = lambda m: m.group() if m.group().lower() in own else table.get(m.group().lower(), m.group())
+    got = {x.text: x.redacted for x in redact.repeats_redacted(b, rows.union(many)).collect()}
+    assert got == {t: pattern.sub(swap, t) for t in texts} and got[texts[-1]].startswith("[T]") and got[texts[-1]].endswith("[T]")
+
+
 def test_review(spark):
     d = spark.createDataFrame([("r", "APPROVE", 1), ("r", "REDACT", 2), ("s", "SHRED", 1)], "record_id string, action string, line int")
     assert [x.action for x in policy.latest(d.where("record_id = 'r'")).collect()] == ["REDACT"]

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: word runs of an original that are looked up at most; parts into which blocks are dealt for originals without any
+RUNS, SALTS = 4, 64
+#: the dotted and the dotless i, which patterns without case take for i
+_DOTS = {0x130: "i", 0x131: "i"}
+
 
 def redacted(blocks: DataFrame, records: DataFrame) -> DataFrame:
     """Blocks with `redacted`: every record with a replacement_value spliced in, left to right; others as they are."""
@@ -24,33 +30,65 @@ def redacted(blocks: DataFrame, records: DataFrame) -> DataFrame:
     return joined.withColumn("redacted", F.coalesce(done, text)).drop("_spans")
 
 
-def repeats_redacted(blocks: DataFrame, records: DataFrame, most: int = 100_000, column: str = "redacted") -> DataFrame:
+def _edged(w: str) -> str:
+    """The pattern of an original: its letters and digits at the ends are bounded by words."""
+    return (r"(?<!\w)" if w[:1].isalnum() else "") + re.escape(w) + (r"(?!\w)" if w[-1:].isalnum() else "")
+
+
+def _pieces(text: str, whole: bool) -> list[str]:
+    """Runs of word characters, case folded; unless whole, without those at the ends of an original that may stand inside longer ones."""
+    fold = lambda t: t.translate(_DOTS).casefold()
+    return [fold(m.group()) for m in re.finditer(r"\w+", text) if whole or ((m.start() or text[0].isalnum()) and (m.end() < len(text) or text[-1].isalnum()))]
+
+
+def repeats_redacted(blocks: DataFrame, records: DataFrame, most: int | None = None, column: str = "redacted") -> DataFrame:
     """Approved originals that stand elsewhere, word-bounded, case aside, longest first, replaced in every block.
 
-    The dictionary is one row for each original; beyond `most` the query stops rather than broadcast an unbounded table.
+    The dictionary is one row for each original and stays distributed: it is joined to the blocks by the first word runs
+    of each original (RUNS at most), so that a block is searched for those alone that can stand in it. Originals without
+    such a run are searched in every block. With `most`, the query stops beyond so many originals.
     """
-    known = records.where("replacement_value IS NOT NULL").groupBy(F.lower("original_text").alias("k")).agg(F.min_by("replacement_value", F.struct("block_id", "start_offset")).alias("r"))
-    pairs = known.limit(most + 1).collect()
-    if len(pairs) > most:
-        raise ValueError(f"more than {most} distinct originals; redact in parts")
-    table = {p["k"]: p["r"] for p in pairs}
-    done = {p["r"] for p in pairs}
-    names = blocks.columns
+    known = records.where("replacement_value IS NOT NULL AND original_text <> ''").groupBy(F.lower("original_text").alias("k")).agg(F.min_by("replacement_value", F.struct("block_id", "start_offset")).alias("r"))
+    if most is not None and known.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} distinct originals")
+    both = F.array(F.struct(F.col("k").alias("w"), "r", F.lit("").alias("own")), F.struct(F.col("r").alias("w"), "r", F.lit("own").alias("own")))
+    entries = known.select(F.explode(both).alias("x")).select("x.*").where("w <> ''").distinct()
+    names, kind = blocks.columns, blocks.schema["block_id"].dataType.simpleString()
+
+    def anchored(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in parts:
+            grams = [["\0".join(p[:RUNS])] if (p := _pieces(w, False)) else [f"\1{k}" for k in range(SALTS)] for w in f["w"]]
+            yield f.assign(gram=grams).explode("gram")[["gram", "w", "r", "own"]]
+
+    def grams(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in parts:
+            out = []
+            for t in f[column]:
+                p = _pieces(t or "", True)
+                out.append([*{"\0".join(p[i : i + n]) for n in range(1, RUNS + 1) for i in range(len(p) - n + 1)}, f"\1{zlib.crc32((t or '').encode()) % SALTS}"])
+            yield f[["block_id"]].assign(gram=out).explode("gram")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        edge = lambda w: (r"(?<!\w)" if w[:1].isalnum() else "") + re.escape(w) + (r"(?!\w)" if w[-1:].isalnum() else "")
-        keys = sorted({*table, *(d.lower() for d in done)}, key=lambda w: (-len(w), w))
-        pattern = re.compile("|".join(map(edge, keys)), re.IGNORECASE) if keys else None
-        own = {d.lower() for d in done}
+        def done(text: str, words: Sequence[Sequence[str]] | None) -> str:
+            if text is None or words is None:
+                return text
+            own = {w.lower() for w, _, o in words if o}
+            table = {w: r for w, r, o in words if not o}
+            pattern = re.compile("|".join(map(_edged, sorted({*table, *own}, key=lambda w: (-len(w), w)))), re.IGNORECASE)
+
+            def swap(m: re.Match) -> str:
+                low = m.group().lower()
+                return m.group() if low in own else table.get(low, m.group())
 
-        def swap(m: re.Match) -> str:
-            low = m.group().lower()
-            return m.group() if low in own else table.get(low, m.group())
+            return pattern.sub(swap, text)
 
         for f in parts:
-            yield f.assign(**{column: [pattern.sub(swap, t) if pattern else t for t in f[column]]})[names]
+            yield f.assign(**{column: [done(t, w) for t, w in zip(f[column], f["_words"], strict=True)]})[names]
 
-    return blocks.mapInPandas(run, blocks.schema)
+    asked = blocks.select("block_id", column).mapInPandas(grams, f"block_id {kind}, gram string")
+    hits = asked.join(entries.mapInPandas(anchored, "gram string, w string, r string, own string"), "gram")
+    words = hits.groupBy(F.col("block_id").alias("_id")).agg(F.collect_set(F.array("w", "r", "own")).alias("_words"))
+    return blocks.join(words, F.col("block_id").eqNullSafe(F.col("_id")), "left").drop("_id").mapInPandas(run, blocks.schema)
 
 
 def application_failures(blocks: DataFrame, records: DataFrame) -> DataFrame:
