@@ -438,6 +438,15 @@ def test_license_spans_survive_small_edits(spark):
     assert r.labels == "mit" and 0.75 <= r.score < 1 and r.spans[0].first == 2
 
 
+def test_license_spans_count_each_place_of_a_template_once(spark):
+    notice = "Licensed under CC BY-NC 4.0"
+    texts = ["4.0 4.0 4.0 4.0 4.0", "2.0 " * 8, "MIT license " * 3, "license mit the under released", f"{notice}. " * 2, "licensed under a b c d cc by nc 4 0"]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.labels, r.score) for r in rows[:4]] == [("", 0.0)] * 4
+    assert rows[4].labels == "cc-by,cc-by-nc-4.0" and [(x.first, x.share) for x in rows[4].spans] == [(0, 1.0), (7, 1.0)]
+    assert rows[5].labels == "cc-by" and rows[5].spans == []
+
+
 # 9 ---------------------------------------------------------------------------------------------------------------
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import bound
+
 #: base phrases and their labels
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: wording of well-known public licences, and the label that a verified span gives
@@ -39,15 +41,44 @@ def _grams(w: Column) -> Column:
     return F.concat(marker, F.when(F.size(w) >= K, F.transform(F.sequence(F.lit(0), F.size(w) - K), gram)).otherwise(F.slice(marker, 1, 0)))
 
 
+def _chains(hits: Column, need: Column, cover: float) -> Column:
+    """array<struct<n, start, end, low>>: chains of at least `cover` of the template, n places each, none overlapping.
+
+    The hits are sorted. A hit goes on with the longest chain that ends before it in text and template, on a diagonal at
+    most NEAR away; only hits at most need + NEAR words back can be such ends.
+    """
+    place = "array<struct<n:int,start:int,low:int,at:int,t_at:int>>"
+    chain = "array<struct<n:int,start:int,end:int,low:int>>"
+
+    def step(a: Column, x: Column) -> Column:
+        diagonal = x["at"] - x["t_at"]
+        fits = lambda p: (p["at"] < x["at"]) & (p["t_at"] < x["t_at"]) & (F.abs(diagonal - p["at"] + p["t_at"]) <= NEAR)
+        best = F.array_max(F.filter(a["recent"], fits))
+
+        def put(b: Column) -> Column:
+            n, start, low = F.coalesce(b["n"], F.lit(0)) + 1, F.coalesce(b["start"], x["at"]), F.least(b["low"], diagonal)
+            me = F.struct(n.alias("n"), start.alias("start"), low.alias("low"), x["at"].alias("at"), x["t_at"].alias("t_at"))
+            recent = F.concat(F.filter(a["recent"], lambda p: p["at"] >= x["at"] - need - NEAR), F.array(me))
+            out, last = a["found"], F.get(a["found"], F.size(a["found"]) - 1)
+            more = F.array(F.struct(n.alias("n"), start.alias("start"), x["at"].alias("end"), low.alias("low")))
+            found = F.when(n / need < cover, out).when(last.isNull() | (start > last["end"]), F.concat(out, more)).when(n > last["n"], F.concat(F.slice(out, F.lit(1), F.size(out) - 1), more)).otherwise(out)
+            return F.struct(recent.cast(place).alias("recent"), found.cast(chain).alias("found"))
+
+        return bound(best, put)
+
+    return F.aggregate(hits, F.struct(F.array().cast(place).alias("recent"), F.array().cast(chain).alias("found")), step, lambda a: a["found"])
+
+
 def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, text: str = "text", cover: float = COVER) -> DataFrame:
     """Each row with n_words, n_base, first_word, last_word, base_labels, labels, score and spans, and without the text.
 
     All rolling word k-grams of every text are joined by hash to template positions (a fixed table, far under the
     broadcast limit) and their words compared, so that a hit is exact. Hits vote for the diagonal document place minus
-    template place. A base phrase stands where all its k-grams vote for one diagonal. For longer templates, diagonals at
-    most NEAR apart are merged and a span is verified where at least `cover` of the template's k-grams are found. score
+    template place. A base phrase stands where all its k-grams vote for one diagonal. For longer templates, hits are
+    chained in the order of both text and template, from one diagonal to another at most NEAR apart; a span is verified
+    where a chain holds at least `cover` of the template's k-grams, each counted once. score
     is the best such share, 1.0 for any base phrase, 0.0 without spans. spans lists (label, first word, share) of every
-    verified span. Null and empty texts have no words, no labels and score 0.0; repeated rows are rows like others;
+    verified span, the longest chain of those that overlap. Null and empty texts have no words, no labels and score 0.0; repeated rows are rows like others;
     columns of docs named like the new ones are replaced.
     """
     spark = docs.sparkSession
@@ -64,12 +95,11 @@ def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, template
     gram = row.select("_r", F.size("_w").alias("n_words"), F.explode(_grams(F.col("_w"))).alias("g")).select("_r", "n_words", "g.*")
     same = [F.col("hash") == F.col("t_hash"), *[F.col(f"w{k}") == F.col(f"t_w{k}") for k in range(K)]]
     hits = gram.join(F.broadcast(places), same)
-    votes = hits.groupBy("_r", "n_words", "t", "need", "label", "base", (F.col("at") - F.col("t_at")).alias("diagonal")).agg(F.count("*").alias("votes"))
-    by = Window.partitionBy("_r", "t").orderBy("diagonal")
-    apart = F.when(F.col("base") | F.lag("diagonal").over(by).isNull() | (F.col("diagonal") - F.lag("diagonal").over(by) > NEAR), 1).otherwise(0)
-    band = votes.withColumn("_new", apart).withColumn("band", F.sum("_new").over(by))
-    span = band.groupBy("_r", "n_words", "t", "need", "label", "base", "band").agg(F.min("diagonal").alias("first"), F.least(F.lit(1.0), F.sum("votes") / F.when(F.col("need") > 0, F.col("need"))).alias("share"))
-    found = (F.col("t") >= 0) & F.when(F.col("base"), F.col("share") >= 1.0).otherwise(F.col("share") >= cover)
+    by = ["_r", "n_words", "t", "need", "label", "base", F.when(F.col("base"), F.col("at") - F.col("t_at")).alias("first")]
+    span = hits.groupBy(*by).agg(F.count("*").alias("votes"), F.array_sort(F.collect_list(F.when(~F.col("base"), F.struct("at", "t_at")))).alias("hits"))
+    chains = F.transform(_chains(F.col("hits"), F.col("need"), cover), lambda c: F.struct(F.col("label").alias("label"), c["low"].alias("first"), (c["n"] / F.col("need")).alias("share")))
+    span = span.withColumn("chains", F.when(~F.col("base"), chains)).withColumn("share", F.when(F.col("base"), F.lit(1.0)).otherwise(F.array_max(F.transform("chains", lambda c: c["share"]))))
+    found = (F.col("t") >= 0) & F.when(F.col("base"), F.col("votes") >= F.col("need")).otherwise(F.size("chains") > 0)
     base = found & F.col("base")
     out = span.groupBy("_r", "n_words").agg(
         F.count_if(base).alias("n_base"),
@@ -78,6 +108,6 @@ def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, template
         F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set(F.when(found, F.col("label")))), ",").alias("labels"),
         F.coalesce(F.max(F.when(found, F.col("share"))), F.lit(0.0)).alias("score"),
-        F.array_sort(F.collect_list(F.when(found & ~F.col("base"), F.struct("label", "first", "share")))).alias("spans"),
+        F.array_sort(F.flatten(F.collect_list(F.when(found & ~F.col("base"), F.col("chains"))))).alias("spans"),
     )
     return out.select(*[F.col("_r")[c].alias(c) for c in others], F.col("n_words").cast("long").alias("n_words"), *own[1:])
