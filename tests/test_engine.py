@@ -165,6 +165,14 @@ def test_repeats_of_any_number_of_originals_equal_one_alternation(spark):
     assert got == {t: pattern.sub(swap, t) for t in texts} and got[texts[-1]].startswith("[T]") and got[texts[-1]].endswith("[T]")
 
 
+def test_residuals_judge_every_place(spark):
+    texts = ["Acmeville bought Acme", "Acmeville only", "was [Acme Two] and [Acme]", "xa.b\\E+cx a.b\\E+c", "[Acme Two] acme"]
+    b = blocks(spark, *texts).withColumn("redacted", F.col("text"))
+    rows = [(f"r{k}", f"d#p{k}", "a.b\\E+c" if k == 3 else "Acme", "[Acme]") for k in range(5)] + [(f"s{k}", f"d#p{k}", "Other", "[Acme Two]") for k in (2, 4)]
+    r = spark.createDataFrame(rows, "record_id string, block_id string, original_text string, replacement_value string")
+    assert sorted(x.record_id for x in redact.residuals(b, r).collect()) == ["r0", "r3", "r4"]
+
+
 def test_review(spark):
     d = spark.createDataFrame([("r", "APPROVE", 1), ("r", "REDACT", 2), ("s", "SHRED", 1)], "record_id string, action string, line int")
     assert [x.action for x in policy.latest(d.where("record_id = 'r'")).collect()] == ["REDACT"]

@@ -98,17 +98,23 @@ def application_failures(blocks: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def residuals(blocks: DataFrame, records: DataFrame) -> DataFrame:
-    """Originals of four characters or more that still stand, word-bounded, in their own block after replacements are taken out."""
-    r = records.where("replacement_value IS NOT NULL").where(F.char_length(F.trim("original_text")) >= 4)
-    rows = r.join(blocks.select("block_id", "redacted"), "block_id")
-    rest = F.lower(F.replace("redacted", "replacement_value", F.lit("\n")))
-    low = F.lower("original_text")
-    at = F.position(low, rest)
-    before, after = F.substring(rest, at - 1, F.lit(1)), F.substring(rest, at + F.char_length(low), F.lit(1))
-    word = lambda c: c.rlike(r"(?U)^\w$")
-    edge = lambda c, end: ~(word(c) & word(end))
-    bounded = ((at == 1) | edge(before, F.substring(low, 1, 1))) & edge(after, F.right(low, F.lit(1)))
-    return rows.where((at > 0) & bounded).select("record_id", "block_id", "original_text").distinct()
+    """Originals of four characters or more that still stand, word-bounded, in their own block after replacements are taken out.
+
+    Every replacement of the block is taken out, the longest first, case aside; every place of an original is judged.
+    """
+    approved = records.where("replacement_value IS NOT NULL")
+    quoted = lambda c: F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    value = F.lower("replacement_value")
+    longest = F.reverse(F.array_sort(F.collect_set(F.when(value != "", F.struct(F.char_length(value).alias("n"), value.alias("v"))))))
+    known = approved.groupBy("block_id").agg(longest.alias("_known"))
+    low = F.lower("redacted")
+    rest = F.when(F.size("_known") > 0, F.regexp_replace(low, F.array_join(F.transform("_known", lambda x: quoted(x["v"])), "|"), F.lit("\n"))).otherwise(low)
+    left = blocks.select("block_id", "redacted").join(known, "block_id").select("block_id", rest.alias("_rest"))
+    r = approved.where(F.char_length(F.trim("original_text")) >= 4).join(left, "block_id")
+    original = F.lower("original_text")
+    edge = lambda c, pattern: F.when(c.rlike(r"^[\p{L}\p{N}]$"), F.lit(pattern)).otherwise(F.lit(""))
+    bounded = F.concat(F.lit("(?U)"), edge(F.substring(original, 1, 1), r"(?<!\w)"), quoted(original), edge(F.right(original, F.lit(1)), r"(?!\w)"))
+    return r.where(F.rlike("_rest", bounded)).select("record_id", "block_id", "original_text").distinct()
 
 
 def scrubbed_urls(pages: DataFrame, originals: Sequence[tuple[str, str]], url: str = "url") -> DataFrame:
