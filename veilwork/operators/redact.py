@@ -62,11 +62,16 @@ def repeats_redacted(blocks: DataFrame, records: DataFrame, most: int | None = N
 
     def grams(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in parts:
-            out = []
-            for t in f[column]:
+            ids, out = [], []
+            for k, t in zip(f["block_id"], f[column], strict=True):
                 p = _pieces(t or "", True)
-                out.append([*{"\0".join(p[i : i + n]) for n in range(1, RUNS + 1) for i in range(len(p) - n + 1)}, f"\1{zlib.crc32((t or '').encode()) % SALTS}"])
-            yield f[["block_id"]].assign(gram=out).explode("gram")
+                out += {"\0".join(p[i : i + n]) for n in range(1, RUNS + 1) for i in range(len(p) - n + 1)}
+                out.append(f"\1{zlib.crc32((t or '').encode()) % SALTS}")
+                ids += [k] * (len(out) - len(ids))
+                if len(out) > 50_000:
+                    yield pd.DataFrame({"block_id": ids, "gram": out})
+                    ids, out = [], []
+            yield pd.DataFrame({"block_id": pd.Series(ids, dtype=f["block_id"].dtype), "gram": pd.Series(out, dtype=object)})
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def done(text: str, words: Sequence[Sequence[str]] | None) -> str:
