@@ -272,6 +272,43 @@ def test_near_duplicates_match_brute_force(docs, none):
     assert kept.columns == docs.columns and None in {r.doc_id for r in kept.collect()}
 
 
+def test_near_duplicates_of_odd_keys(spark):
+    r, rows = random.Random(12), []
+    for k in range(30):
+        w = prose(40 + k % 6, 60).split()
+        w[r.randrange(60)] = f"v{k}"
+        rows.append((f"k{k:02d}", " ".join(w)))
+    rows += rows[:4] * 3  # repeated rows, and one key with several texts
+    rows += [("k05", rows[3][1]), ("k05", None), ("k28", ""), (None, rows[0][1])]
+    want, link = {}, near_groups([(i, t) for i, (_, t) in enumerate(rows)])
+    # a key is one document: components of rows are joined where a key repeats
+    group = {k: k for k, _ in rows if k}
+
+    def find(a):
+        while group[a] != a:
+            a = group[a]
+        return a
+
+    for i, (k, t) in enumerate(rows):
+        j = link[i][1]
+        if k and rows[j][0] and link[i][0]:
+            x, y = find(k), find(rows[j][0])
+            group[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id string, text string, component_id string").repartition(3)
+    got = neardup.groups(docs).collect()
+    want = {k: find(k) for k in group}
+    assert len(got) == len(rows)
+    assert all(x.component_id == (want[x.doc_id] if x.n_shingles else x.doc_id) for x in got if x.doc_id)
+    kept = neardup.first_of_each(docs).collect()
+    assert sorted(x.doc_id for x in kept if x.doc_id) == sorted({x.doc_id for x in got if x.doc_id} - {x.doc_id for x in got if not x.kept})
+
+
+def test_hot_bands_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "SHINGLES", 500)
+    test_many_variants_of_one_text_lose_no_link(spark)
+
+
 def test_many_variants_of_one_text_lose_no_link(spark):
     r, base, rows = random.Random(8), prose(9, 60).split(), []
     for k in range(120):
@@ -407,7 +444,25 @@ def test_merging_and_cached_ids_on_odd_texts():
     counts = bpe.Counts(v.ranks)
     want = [x.ids for x in v.library.encode_batch(texts, add_special_tokens=False)]
     assert [v.count(x, counts) for x in texts] == [len(x) for x in want]
-    assert [np.frombuffer(x, "<u4").tolist() for x in ids.encode(texts)] == want
+    assert ids.exact and [ids.encode(x).tolist() for x in texts] == want
+    plain = bpe.Ids(queries.vocabulary(), False)
+    assert [plain.encode(x).tolist() for x in texts] == want
+
+
+def test_vocabularies_of_another_kind_go_to_the_library():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = bpe.Ids(path)
+    assert not ids.exact and ids.encode("Two words").tolist() == ids.vocabulary.library.encode("Two words", add_special_tokens=False).ids
+
+
+def test_long_texts_are_cut_where_no_pre_token_goes_over():
+    r = random.Random(5)
+    long = "".join(r.choice(["a", "bc", " ", "  ", "\n", "\t ", "'s", "9", "é", "日", ".", "<|endoftext|>"]) for _ in range(20_000))
+    for x in (long, "no blank" * 3, "x" * 5000, " " * 5000, ""):
+        ids, cut = bpe.Ids(queries.vocabulary(), True), [*bpe.pieces_of(x, 50)]
+        assert "".join(cut) == x and np.concatenate([np.zeros(0, "<u4"), *map(ids.encode, cut)]).tolist() == ids.vocabulary.library.encode(x, add_special_tokens=False).ids
 
 
 # 8 ---------------------------------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,11 @@ from . import common
 PIECES = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: characters in which `re` and the tokenizer's own pattern agree; other texts are split by the tokenizer itself
 ODD = re.compile("[^\t\n\r\x20-\x7eÀ-ɏ¡«»¿–—‘’“”…]")
-CACHE, KEPT = 700_000, 500_000
+#: the same pattern as the vocabularies' makers state it
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: the last character of a pre-token, before a blank
+SAFE = re.compile(r"\S(?= )")
+CACHE = 300_000
 
 
 def _alphabet() -> dict[int, int]:
@@ -34,8 +39,6 @@ def _alphabet() -> dict[int, int]:
 
 
 ALPHABET = _alphabet()
-#: the same, where byte 0 stands between pre-tokens
-JOINED = ALPHABET | {0: " "}
 
 
 class Counts(dict):
@@ -87,7 +90,7 @@ class Vocabulary:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        raw = json.loads(open(path, encoding="utf-8").read())
+        self.raw = raw = json.loads(Path(path).read_text(encoding="utf-8"))
         pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in raw["model"]["merges"])
         self.ranks = {pair: k for k, pair in enumerate(pairs)}
         self.special = [t["content"] for t in raw["added_tokens"]]
@@ -136,46 +139,84 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", limit: in
 
 
 class Ids:
-    """Pre-token -> its ids as little-endian unsigned 32-bit bytes; at most KEPT entries between batches."""
+    """Ids of whole texts as the library gives them, by a byte-pair encoder that holds no Python object for a token.
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer, pre_tokenizers
+    The encoder merges the adjacent pair whose joined bytes rank lowest; the library merges the pair that its list ranks
+    lowest. Both give one result where every token's parts rank below it and the library gives the token's own text back
+    as that one token: what stands before the last merge of a token is then the same pair in any context. `exact` tells
+    whether the vocabulary is of that kind (and of the pre-token pattern above); if not, the library itself is asked.
+    """
 
-        self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}  # a plain dict: sets subtract it without walking it
-        # the same model for pre-tokens that are already in the printable alphabet, one blank apart
-        self.model = Tokenizer.from_file(path)
-        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
-        names = self.library.get_vocab()
-        self.size = np.zeros(max(names.values()) + 1, np.int64)
-        for name, k in names.items():
-            self.size[k] = len(name)
-
-    def learn(self, pieces: set[str]) -> None:
-        new = list(pieces.difference(self.known))
-        if len(self.known) + len(new) > KEPT:
-            self.known.clear()
-            new = list(pieces)
-        for k in range(0, len(new), 8192):
-            some = new[k : k + 8192]
-            raw = "\0".join(some).encode()
-            ids = np.array(self.model.encode(raw.decode("latin-1").translate(JOINED), add_special_tokens=False).ids, "<u4")
-            ends = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == 0), len(raw)) - np.arange(len(some))
-            cut = [0, *(4 * np.searchsorted(np.cumsum(self.size[ids]), ends) + 4).tolist()]
-            out = ids.tobytes()
-            for w, low, high in zip(some, cut, cut[1:], strict=False):
-                self.known[w] = out[low:high]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The library's ids of each text, by way of pre-tokens; texts with rare characters or special strings go to it whole."""
-        plain = [not ODD.search(x) and "<|" not in x for x in texts]
-        pieces = [PIECES.findall(x) if ok else [] for x, ok in zip(texts, plain, strict=True)]
-        self.learn(set().union(*pieces))
-        look = self.known.__getitem__
-        return [b"".join(map(look, p)) if ok else np.array(self.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x, ok, p in zip(texts, plain, pieces, strict=True)]
+    def __init__(self, path: str, fits: bool | None = None) -> None:
+        import tiktoken
+
+        self.vocabulary = v = Vocabulary(path)
+        raw = v.raw
+        self.special = {t["content"]: t["id"] for t in raw["added_tokens"]}
+        self.exact = exact(path) if fits is None else fits
+        if self.exact:
+            back = {c: b for b, c in ALPHABET.items()}
+            ranks = {bytes(back[ord(c)] for c in name): k for name, k in raw["model"]["vocab"].items() if name not in self.special}
+            self.core = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.back = {c: chr(b) for c, b in back.items()}
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text, as little-endian unsigned 32-bit numbers; special strings are one id, as is the library's default."""
+        if not self.exact:
+            return np.array(self.vocabulary.library.encode(text, add_special_tokens=False).ids, "<u4")
+        parts, _ = self.vocabulary.segments(text)
+        found = self.vocabulary.split_special.findall(text) if len(parts) > 1 else []
+        out = []
+        for k, part in enumerate(parts):
+            out += [self._plain(x) for x in pieces_of(part)]
+            if k < len(found):
+                out.append(np.array([self.special[found[k]]], "<u4"))
+        return np.concatenate(out) if len(out) > 1 else out[0] if out else np.zeros(0, "<u4")
+
+    def _plain(self, text: str) -> np.ndarray:
+        if not ODD.search(text):
+            return self.core.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        ids: list[int] = []
+        for w, _ in self.vocabulary.library.pre_tokenizer.pre_tokenize_str(text):  # in the printable alphabet
+            ids += self.core._core_bpe.encode_single_piece(w.translate(self.back).encode("latin-1"))
+        return np.array(ids, "<u4")
+
+
+def pieces_of(text: str, size: int = 1 << 18) -> Iterator[str]:
+    """The text in pieces of about `size` characters, cut before a blank that follows another character than white space.
+
+    No pre-token goes over such a place, as a blank stands at the start of a pre-token or among white space only.
+    """
+    low = 0
+    while len(text) - low > size:
+        at = SAFE.search(text, low + size)
+        if at is None:
+            break
+        yield text[low : at.start() + 1]
+        low = at.start() + 1
+    yield text[low:] if low else text
+
+
+@functools.lru_cache(4)
+def exact(path: str) -> bool:
+    """Whether Ids may use the encoder for this vocabulary file."""
+    v = Vocabulary(path)
+    model, names = v.raw["model"], v.raw["model"]["vocab"]
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    of = v.raw.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or v.raw.get("normalizer") or any(of.get(k) != x for k, x in plain.items()) or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback")):
+        return False
+    if any(t.get(k) for t in v.raw["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
+        return False
+    special, single = {*v.special}, {chr(c) for c in ALPHABET.values()}
+    if not single <= names.keys() or any(max(names[a], names[b]) >= names.get(a + b, -1) for a, b in v.ranks if len(a) > 1 or len(b) > 1):
+        return False
+    if [names.get(a + b) for a, b in v.ranks] != sorted(names[x] for x in names if x not in special and x not in single):
+        return False
+    return all(merged(x, v.ranks) == 1 for x in names if x not in special)
 
 
 @functools.lru_cache(1)
-def ids_of(path: str) -> Ids:
-    """One cache for all tasks of a worker process."""
-    return Ids(path)
+def ids_of(path: str, fits: bool) -> Ids:
+    """One encoder for all tasks of a worker process; its size is that of the vocabulary and does not grow."""
+    return Ids(path, fits)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import sys
 import tempfile
 import uuid
@@ -13,16 +14,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parents[2]
 _SHIPPED: set[str] = set()
+#: settings that hold whole texts by the thousand at once: Spark's default, and ours, set where the default still holds
+BATCHES = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m"),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "4096"),
+    "spark.sql.parquet.columnarReaderBatchSize": ("4096", "1024"),
+}
+#: bytes of a row group of stored rows, which the writer holds in memory
+ROW_GROUP = 16 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers; a no-op where PYTHONPATH already holds it."""
-    if str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        return
+    """Make this package importable in Python workers, wherever these run, and keep batches of long texts small.
+
+    The code goes to the executors as a zip, once for each application, whatever the driver's PYTHONPATH says.
+    """
+    for name, (default, ours) in BATCHES.items():
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, ours)
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
-    target = Path(tempfile.mkdtemp(prefix="veilwork_")) / "veilwork_src.zip"
+    folder = tempfile.mkdtemp(prefix="veilwork_")  # the driver serves the file from here until it ends
+    atexit.register(shutil.rmtree, folder, True)
+    target = Path(folder) / "veilwork_src.zip"
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted((ROOT / "veilwork").rglob("*.py")):
             z.write(p, p.relative_to(ROOT))
@@ -33,20 +48,35 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under the shared checkpoint folder the session names; one is set only where none is."""
+    """A new folder name under the shared checkpoint folder that the session names.
+
+    Where none is named, a local master takes a temporary folder, as driver and executors are one process there; any
+    other master raises, since its executors would not see a folder of the driver's machine.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="veilwork_ck_")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if known.isDefined():
+            base = known.get()
+        elif spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+            base = tempfile.mkdtemp(prefix="veilwork_ck_")
+            spark.sparkContext.setCheckpointDir(base)
+        else:
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends, and lost executors cost no recomputation."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it back: lineage ends, and lost executors cost no recomputation.
+
+    The folder is deleted when the session's JVM ends, as the lazy result that reads it may be run at any time before.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

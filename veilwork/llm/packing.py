@@ -12,9 +12,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, text as T
+from .bpe import exact, ids_of
 
 SIZE, END = 1024, 2
+#: bytes of text whose pieces are held before they are sent on
+BATCH = 1 << 20
 
 
 def minimum_bin_slack(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, dict[int, int]]]:
@@ -94,38 +97,33 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END, key
     spark = docs.sparkSession
     common.ship(spark)
 
-    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .bpe import ids_of
+    fits = exact(vocabulary)
+    kind = docs.schema[key].dataType.simpleString()
 
-        ids, part = ids_of(vocabulary), TaskContext.get().partitionId()
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, part = ids_of(vocabulary, fits), TaskContext.get().partitionId()
         ranks = np.zeros(size + 1, np.int64)
-        mark = int(end).to_bytes(4, "little")
+        mark = np.uint32(end)
         for b in batches:
-            keys, rows = b.column(0), []
-            low = 0
-            while low < b.num_rows:
-                high, n, some = low, 0, []
-                while high < b.num_rows and n < 1_000_000:
-                    some.append(b.column(1)[high].as_py() or "")
-                    n += len(some[-1]) + 1
-                    high += 1
-                for row, raw in zip(range(low, high), ids.encode(some), strict=True):
-                    raw += mark
-                    for piece, (start, length) in enumerate(cut(len(raw) // 4, size)):
-                        rows.append((row, piece, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), ranks[length]))
+            for low, high, _, _ in T.chunks(b.column(1), BATCH):
+                rows = []
+                for row in range(low, high):
+                    raw = np.append(ids.encode(b.column(1)[row].as_py() or ""), mark)
+                    data = memoryview(raw).cast("B")
+                    for piece, (start, length) in enumerate(cut(len(raw), size)):
+                        rows.append((row, piece, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), ranks[length]))
                         ranks[length] += 1
-                low = high
-            a = np.array(rows, np.int64).reshape(-1, 6)
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(a[:, 0])), pa.array(a[:, 1].astype(np.int32)), *[pa.array(a[:, k]) for k in (2, 3, 4)], pa.array(np.full(len(a), part, np.int64)), pa.array(a[:, 5])], names=[key, "piece", "start", "length", "ids_crc32", "part", "rank"])
+                a = np.array(rows, np.int64).reshape(-1, 6)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(a[:, 0])), pa.array(a[:, 1].astype(np.int32)), *[pa.array(a[:, k]) for k in (2, 3, 4)], pa.array(np.full(len(a), part, np.int64)), pa.array(a[:, 5])], names=[key, "piece", "start", "length", "ids_crc32", "part", "rank"])
 
-    kind = docs.schema[key].dataType.simpleString()
     pieces = common.stored(docs.select(key, text).mapInArrow(tokenise, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, part long, rank long"))
     counts = common.stored(pieces.groupBy("part", "length").agg(F.count("*").alias("n")))
     totals = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}
     slots = _slots(minimum_bin_slack(totals, size))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    ranked = pieces.join(shift, ["part", "length"])
+    # one row for each partition and length grows with the corpus, so it is not broadcast
+    ranked = pieces.join(shift.hint("merge"), ["part", "length"])
 
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in parts:
