@@ -13,10 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+CHUNK = 1 << 19
 
 #: bytes of words [^\x20\x09-\x0D]+
 NOT_SPACE = np.ones(256, bool)
@@ -66,16 +63,6 @@ def words(data: np.ndarray, at: np.ndarray, kind: np.ndarray) -> tuple[np.ndarra
     return start, np.flatnonzero(last) + 1, np.searchsorted(at, start, "right") - 1
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalizer that spreads all bits (the public splitmix64 constants)."""
     h = h ^ (h >> np.uint64(30))
@@ -86,14 +73,32 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _table(places: int) -> np.ndarray:
+    """Random 64-bit numbers for each byte at each of the first places of a word, as one flat table."""
+    return mix(mix(np.arange(1, 256 * places + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+_PLACES = 64
+_TABLE = _table(_PLACES)
+
+
 def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, by differences of one running polynomial sum."""
+    """A 64-bit hash of each word: the sum of a random number for each byte at its place (tabulation), and the length.
+
+    The numbers of places beyond the table are made when they are met, so that long words are hashed whole.
+    """
     if not len(start):
         return np.zeros(0, np.uint64)
-    power, inverse = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+    size = end - start
+    total = np.cumsum(size)
+    own = np.repeat(start - (total - size), size) + np.arange(total[-1])  # the bytes of words, one after another
+    place = own - np.repeat(start, size)
+    code = place * 256 + data[own]
+    far = np.flatnonzero(place >= _PLACES)
+    x = _TABLE[np.where(place < _PLACES, code, 0)] if len(far) else _TABLE[code]
+    if len(far):
+        x[far] = mix(mix((code[far] + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    return mix(np.add.reduceat(x, total - size) + size.astype(np.uint64))
 
 
 def runs(h: np.ndarray, row: np.ndarray, n: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
