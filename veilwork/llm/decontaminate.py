@@ -1,9 +1,9 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index is split by documents: each row holds one document's posting lists (terms, list ends, positions), so a phrase
-is found where its document lies and no postings are shuffled. Only terms that the benchmark asks for are stored; no
-query can touch others. Frequencies over the whole corpus tell the rarest term of each phrase, whose offset-adjusted list
-is intersected with the next rarest, and so on.
+The index holds every word of the training texts: each row has the posting lists of some documents, so that a phrase is
+found where its documents lie and no posting is shuffled. It is stored once and answers any benchmark, which comes in blocks
+of bounded size. Frequencies over the whole corpus tell the rarest term of each phrase, whose offset-adjusted list is
+intersected with the next rarest, and so on. Words are told apart by 64-bit hash.
 """
 
 from __future__ import annotations
@@ -13,14 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, text as T
 
-WINDOW, SPAN, NEAR_TERMS, BLOCK_BYTES = 10, 20, 3, 8 << 20
-_GAP, _SHIFT = 64, 36  # documents of a chunk stand apart; a key is term << _SHIFT | place
-_CHUNK_TOKENS = 1_000_000
+WINDOW, SPAN, NEAR_TERMS, BLOCK_BYTES = 10, 20, 3, 2 << 20
+#: words between two documents of a row, and of their key: term << _SHIFT | place
+_GAP, _SHIFT = 64, 36
 
 
 @dataclass
@@ -32,100 +33,112 @@ class Asked:
     item_at: np.ndarray  # offsets into item, by phrase
     item: np.ndarray
     ids: list[str]  # item ids as strings, sorted
-    rare: np.ndarray  # items x NEAR_TERMS, term numbers, -1 for none; filled once frequencies are known
     item_terms: list[np.ndarray]
 
 
 def _asked(rows: list[tuple[str, str]], window: int) -> Asked:
     ids = sorted({r[0] for r in rows})
     number = {x: k for k, x in enumerate(ids)}
-    column = pa.array([r[1] for r in rows], pa.string())
-    data, at = T.buffers(column)
+    of = np.array([number[r[0]] for r in rows], np.int64)
+    data, at = T.buffers(pa.array([r[1] for r in rows], pa.string()))
     data = T.LOWER[data]
     start, end, row = T.words(data, at, T.LETTERS)
-    h = T.hashes(data, start, end)
-    terms, code = np.unique(h, return_inverse=True)
-    phrases: dict[tuple, set[int]] = {}
-    item_terms: list[set[int]] = [set() for _ in ids]
-    edge = np.searchsorted(row, np.arange(len(rows) + 1))
-    for k, (name, _) in enumerate(rows):
-        w = code[edge[k] : edge[k + 1]].tolist()
-        item_terms[number[name]].update(w)
-        for i in range(max(1, len(w) - window + 1) if w else 0):
-            phrases.setdefault(tuple(w[i : i + window]), set()).add(number[name])
-    phrase = np.full((len(phrases), window), -1, np.int64)
-    for k, p in enumerate(phrases):
-        phrase[k, : len(p)] = p
-    items = [sorted(x) for x in phrases.values()]
-    return Asked(terms, phrase, np.cumsum([0, *map(len, items)]), np.array([x for y in items for x in y], np.int64), ids, np.zeros((0, 0), np.int64), [np.array(sorted(x), np.int64) for x in item_terms])
+    terms, code = np.unique(T.hashes(data, start, end), return_inverse=True)
+    n = np.bincount(row, minlength=len(rows))
+    first = np.flatnonzero(np.arange(len(code)) + window <= (np.cumsum(n))[row]) if len(code) else np.zeros(0, np.int64)
+    whole = code[first[:, None] + np.arange(window)] if len(first) else np.zeros((0, window), np.int64)
+    short = np.flatnonzero((n > 0) & (n < window))
+    rest = np.full((len(short), window), -1, np.int64)
+    for k, r in enumerate(short):
+        rest[k, : n[r]] = code[(np.cumsum(n) - n)[r] :][: n[r]]
+    phrase, which = np.unique(np.concatenate([whole, rest]).astype(np.int32), axis=0, return_inverse=True)
+    pairs = np.unique(which.ravel() * max(1, len(ids)) + of[np.concatenate([row[first], short])]) if len(which) else np.zeros(0, np.int64)
+    item_at = np.searchsorted(pairs // max(1, len(ids)), np.arange(len(phrase) + 1))
+    own = np.unique(of[row] * max(1, len(terms)) + code) if len(code) else np.zeros(0, np.int64)
+    cut = np.searchsorted(own // max(1, len(terms)), np.arange(len(ids) + 1))
+    return Asked(terms, phrase, item_at, pairs % max(1, len(ids)), ids, [own[a:b] % max(1, len(terms)) for a, b in zip(cut, cut[1:], strict=False)])
 
 
 def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW, size: int = BLOCK_BYTES) -> Iterator[Asked]:
-    """The benchmark in blocks of about `size` bytes of text, by hash of the item; one block if it is no larger."""
+    """The benchmark in blocks of about `size` bytes of text, by hash of the item; the rows of one item stand in one block."""
     known = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where(F.col("i").isNotNull() & F.col("t").isNotNull())
     n = known.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0] // size + 1
     for k in range(n):
-        yield _asked([tuple(r) for r in known.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).distinct().orderBy("i", "t").collect()], window)
+        rows = known.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).distinct().orderBy("i", "t").collect()
+        if rows:
+            yield _asked([tuple(r) for r in rows], window)
 
 
-def index(docs: DataFrame, terms: np.ndarray, key: str, text: str = "text") -> DataFrame:
-    """Stored rows (key, n_words, terms, ends, places) for each document, and one row per task (n_words null) with its term counts."""
-    common.ship(docs.sparkSession)
-    base = docs.select(key, text)
-    sent = docs.sparkSession.sparkContext.broadcast(terms)
-    kind = pa.int64()
+def index(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Stored rows (chunk, keys, n_words, terms, places) of the posting lists of all words of some documents each.
 
-    def lists(values: np.ndarray, n: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(values.astype(np.int32)))
+    chunk is a number of its own for each row; keys and n_words are by document. terms packs the sorted word hashes (as
+    differences) and the lengths of their lists, places the lists one after another: the places of a term in all
+    documents of the row, which lie _GAP words apart.
+    """
+    common.ship(docs.sparkSession)
+    kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        total = np.zeros(len(known), np.int64)
-        names = [key, "n_words", "terms", "ends", "places", "counts"]
+        chunk = TaskContext.get().partitionId() << 32
         for b in batches:
             for low, high, data, at in T.chunks(b.column(1)):
-                rows = high - low
                 data = T.LOWER[data]
                 start, end, row = T.words(data, at, T.LETTERS)
+                n = np.bincount(row, minlength=high - low)
                 h = T.hashes(data, start, end)
-                n = np.bincount(row, minlength=rows)
-                code = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-                hit = np.flatnonzero(known[code] == h) if len(known) else np.zeros(0, np.int64)
-                place = hit - (np.cumsum(n) - n)[row[hit]]
-                code, row = code[hit], row[hit]
-                total += np.bincount(code, minlength=len(known))
-                order = np.lexsort((code, row))  # stable: places stay in order
-                code, row, place = code[order], row[order], place[order]
-                last = np.flatnonzero(np.append((code[1:] != code[:-1]) | (row[1:] != row[:-1]), True)) if len(code) else np.zeros(0, np.int64)
-                many, kinds = np.bincount(row, minlength=rows), np.bincount(row[last], minlength=rows)
-                ends = last + 1 - (np.cumsum(many) - many)[row[last]]
-                yield pa.RecordBatch.from_arrays([b.column(key)[low:high], pa.array(n.astype(np.int64)), lists(code[last], kinds), lists(ends, kinds), lists(place, many), pa.nulls(rows, pa.list_(kind))], names=names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, base_type), pa.nulls(1, kind), *[pa.nulls(1, pa.list_(pa.int32()))] * 3, pa.array([total], pa.list_(kind))], names=names)
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    base_type = to_arrow_type(base.schema[key].dataType)
-    return common.stored(base.mapInArrow(run, f"`{key}` {base.schema[key].dataType.simpleString()}, n_words long, terms array<int>, ends array<int>, places array<int>, counts array<long>"))
-
-
-def frequencies(stored: DataFrame, n: int) -> np.ndarray:
-    """How often each term stands in the corpus; as many numbers as the block has terms."""
-    got = stored.where("n_words IS NULL").select(F.posexplode("counts").alias("term", "n")).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(n, np.int64)
+                order = np.argsort(h, kind="stable")  # places stay in order
+                terms, many = np.unique(h[order], return_counts=True)
+                place = (np.arange(len(h)) + row * _GAP)[order]
+                packed = [T.packed(np.diff(terms, prepend=np.uint64(0)), many.astype(np.int64)), T.packed(place.astype(np.int64))]
+                one = [0, high - low]
+                keys = pa.ListArray.from_arrays(pa.array(one, pa.int32()), pa.concat_arrays([b.column(0)[low:high]]))
+                words = pa.ListArray.from_arrays(pa.array(one, pa.int32()), pa.array(n.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), keys, words, *[pa.array([x], pa.binary()) for x in packed]], names=["chunk", "keys", "n_words", "terms", "places"])
+                chunk += 1
+
+    return common.stored(docs.select(key, text).mapInArrow(run, f"chunk long, keys array<{kind}>, n_words array<long>, terms binary, places binary"))
+
+
+def _hits(terms: bytes, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the asked terms that a row holds: their numbers, the lengths and the starts of their lists."""
+    packed = T.unpacked(terms, 2)
+    own, many = np.cumsum(packed[0], dtype=np.uint64), packed[1].astype(np.int64)
+    if not len(own) or not len(known):
+        return (np.zeros(0, np.int64),) * 3
+    code = np.minimum(np.searchsorted(known, own), len(known) - 1)
+    hit = np.flatnonzero(known[code] == own)
+    return code[hit], many[hit], (np.cumsum(many) - many)[hit]
+
+
+def frequencies(stored: DataFrame, asked: Asked) -> np.ndarray:
+    """How often each asked term stands in the corpus; tasks add up, and send the terms that they met."""
+    sent = stored.sparkSession.sparkContext.broadcast(asked.terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        total = np.zeros(len(known), np.int64)
+        for b in batches:
+            for x in b.column(0):
+                code, many, _ = _hits(x.as_py(), known)
+                total[code] += many
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(total[met])], names=["term", "n"])
+
+    got = stored.select("terms").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(asked.terms), np.int64)
     out[got["term"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
 class Postings:
-    """The posting lists of a run of documents, as one sorted array of keys."""
+    """The posting lists of a row for the asked terms, as one sorted array of keys."""
 
-    def __init__(self, n_words: np.ndarray, kinds: np.ndarray, terms: np.ndarray, ends: np.ndarray, many: np.ndarray, places: np.ndarray) -> None:
+    def __init__(self, n_words: np.ndarray, terms: bytes, places: bytes, known: np.ndarray) -> None:
         self.n_words, self.base = n_words, np.cumsum(n_words + _GAP) - n_words - _GAP
-        starts = ends.copy()
-        starts[1:] = ends[:-1]
-        starts[(np.cumsum(kinds) - kinds)[kinds > 0]] = 0
-        term = np.repeat(terms, ends - starts)
-        self.keys = np.sort(term << _SHIFT | places + np.repeat(self.base, many))
+        code, many, first = _hits(terms, known)
+        at = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        self.keys = np.repeat(code, many) << _SHIFT | (T.unpacked(places, 1)[0].astype(np.int64)[at] if len(at) else at)
 
     def of(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.searchsorted(self.keys, term << _SHIFT), np.searchsorted(self.keys, term + 1 << _SHIFT)
@@ -147,7 +160,7 @@ class Postings:
         """(phrase, start) of every exact occurrence; order has each phrase's word places, rarest first."""
         if not len(self.keys) or not len(phrase):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        rank = np.take_along_axis(phrase, order, 1)
+        rank = np.take_along_axis(phrase, order, 1).astype(np.int64)
         p, start = self.expand(rank[:, 0])
         start = start - order[p, 0]
         keep = start >= 0
@@ -163,7 +176,7 @@ class Postings:
         """(item, place) where an item's rarest term has its other rare terms at most span words away."""
         if not len(self.keys) or not len(rare):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        some = np.flatnonzero(rare[:, 0] >= 0)
+        rare, some = rare.astype(np.int64), np.flatnonzero(rare[:, 0] >= 0)
         q, place = self.expand(rare[some, 0])
         q = some[q]
         for k in range(1, rare.shape[1]):
@@ -174,20 +187,21 @@ class Postings:
         return q, place
 
 
-def search(stored: DataFrame, asked: Asked, counts: np.ndarray, key: str, span: int = SPAN) -> DataFrame:
-    """For each document: key, n_words, starts and ends of its hit runs (merged), items (exact) and near (items by proximity)."""
-    common.ship(stored.sparkSession)
+def search(stored: DataFrame, asked: Asked, counts: np.ndarray, span: int = SPAN) -> DataFrame:
+    """(chunk, at, starts, ends, items, near) of each document, the at-th of its row, that holds a phrase or the rare terms of an item.
+
+    starts and ends are the merged runs of hit words, items those matched exactly, near those by proximity: NEAR_TERMS of an
+    item's terms that the corpus has, the rarest (all, if the item has fewer), at most span words from the rarest.
+    """
     weight = np.append(counts, np.iinfo(np.int64).max)  # -1 takes the last: places after a short item's end come last
-    order = np.argsort(weight[asked.phrase], 1, kind="stable")
-    rare = np.full((len(asked.ids), NEAR_TERMS), -1, np.int64)
+    order = np.argsort(weight[asked.phrase], 1, kind="stable").astype(np.int8)
+    rare = np.full((len(asked.ids), NEAR_TERMS), -1, np.int32)
     for k, t in enumerate(asked.item_terms):
-        some = t[np.argsort(counts[t], kind="stable")][:NEAR_TERMS]
-        rare[k, : len(some)] = some
-    sent = stored.sparkSession.sparkContext.broadcast((asked.phrase, order, (asked.phrase >= 0).sum(1), asked.item_at, asked.item, asked.ids, rare))
-
-    def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        at = column.offsets.to_numpy()
-        return np.diff(at).astype(np.int64), column.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]].astype(np.int64)
+        some = t[counts[t] > 0]
+        some = some[np.argsort(counts[some], kind="stable")][:NEAR_TERMS]
+        if len(some) >= min(NEAR_TERMS, len(t)):
+            rare[k, : len(some)] = some
+    sent = stored.sparkSession.sparkContext.broadcast((asked.terms, asked.phrase, order, (asked.phrase >= 0).sum(1), asked.item_at, asked.item, asked.ids, rare))
 
     def group(doc: np.ndarray, value: np.ndarray, n: int, many: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (doc, value) sorted; counts by doc, and the values."""
@@ -195,21 +209,12 @@ def search(stored: DataFrame, asked: Asked, counts: np.ndarray, key: str, span:
         return np.bincount(both // max(1, many), minlength=n), both % max(1, many)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrase, order, length, item_at, item, ids, rare = sent.value
+        terms, phrase, order, length, item_at, item, ids, rare = sent.value
         names = pa.array(ids, pa.string())
         for b in batches:
-            size = np.diff(b.column("places").offsets.to_numpy()) + 1
-            cuts = np.cumsum(size)
-            low = 0
-            while low < b.num_rows:
-                high = max(low + 1, int(np.searchsorted(cuts, (cuts[low - 1] if low else 0) + _CHUNK_TOKENS)))
-                c = b.slice(low, high - low)
-                n = c.num_rows
-                low = high
-                n_words = c.column("n_words").to_numpy()
-                kinds, terms = flat(c.column("terms"))
-                many, places = flat(c.column("places"))
-                at = Postings(n_words, kinds, terms, flat(c.column("ends"))[1], many, places)
+            for r in range(b.num_rows):
+                n_words = b.column("n_words")[r].values.to_numpy()
+                at, n = Postings(n_words, b.column("terms")[r].as_py(), b.column("places")[r].as_py(), terms), len(n_words)
                 p, start = at.phrases(phrase, order)
                 doc = np.searchsorted(at.base, start, "right") - 1
                 reps = np.diff(item_at)[p]
@@ -226,43 +231,56 @@ def search(stored: DataFrame, asked: Asked, counts: np.ndarray, key: str, span:
                 last = np.append(first[1:], len(s)) - 1 if len(first) else first
                 runs = np.bincount(d[first], minlength=n)
                 base = at.base[d[first]]
+                some = np.flatnonzero((per > 0) | (per_near > 0))
                 lists = lambda v, k: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k)]).astype(np.int32)), v)
                 whole = lambda v: pa.array(v.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([c.column(key), c.column("n_words"), lists(whole(s[first] - base), runs), lists(whole(reach[last] - base), runs), lists(names.take(pa.array(items)), per), lists(names.take(pa.array(near)), per_near)], names=[key, "n_words", "starts", "ends", "items", "near"])
+                columns = [lists(whole(s[first] - base), runs), lists(whole(reach[last] - base), runs), lists(names.take(pa.array(items)), per), lists(names.take(pa.array(near)), per_near)]
+                chunk = np.full(len(some), b.column("chunk")[r].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(chunk), whole(some), *[c.take(pa.array(some)) for c in columns]], names=["chunk", "at", "starts", "ends", "items", "near"])
 
-    kind = stored.schema[key].dataType.simpleString()
-    return stored.where("n_words IS NOT NULL").drop("counts").mapInArrow(run, f"`{key}` {kind}, n_words long, starts array<int>, ends array<int>, items array<string>, near array<string>")
+    return stored.select("chunk", "n_words", "terms", "places").mapInArrow(run, "chunk long, at int, starts array<int>, ends array<int>, items array<string>, near array<string>")
+
+
+_FOUND = "chunk long, at int, starts array<int>, ends array<int>, items array<string>, near array<string>"
 
 
 def match(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW) -> DataFrame:
-    """Each document with key, n_words, n_hit, n_items, items_sha256, contaminated, n_near, items and hit runs.
+    """Each document with key, n_words, n_hit, n_items, items_sha256, contaminated, n_near, items and hit runs (starts, ends).
 
-    A benchmark larger than one block is answered block by block, and runs and items of a document are joined by its row
-    number, which is stable as each block reads the same files. Null or empty texts have no words; benchmark rows with a
-    null id or text ask nothing; the rows of one item id are one item; repeated documents are rows like others; other
-    columns are dropped.
+    The index of docs is stored once; each block of the benchmark is answered from it, and the finds of a document are
+    joined by its place there. Null or empty texts have no words; benchmark rows with a null id or text ask nothing; the
+    rows of one item id are one item; repeated documents and null keys are rows like others; other columns are dropped,
+    whatever their names. An empty table gives no rows, an empty benchmark no finds.
     """
-    found, rows = None, docs.select(F.struct(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key")).alias("_id"), text)
-    n = 0
+    stored = index(docs, key, text)
+    found = docs.sparkSession.createDataFrame([], _FOUND)
     for asked in blocks(benchmark, item, text, window):
-        one = len(asked.terms)
-        stored = index(rows, asked.terms, "_id", text)
-        got = search(stored, asked, frequencies(stored, one), "_id")
-        n += 1
-        found = got if found is None else found.unionByName(got)
-    if n > 1:
-        joined = lambda c: F.flatten(F.collect_list(c)).alias(c)
-        found = found.groupBy("_id").agg(F.max("n_words").alias("n_words"), joined("starts"), joined("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))
-        pairs = F.array_sort(F.arrays_zip("starts", "ends"))
-        start = F.struct(F.lit(0).cast("int").alias("end"), F.lit(0).cast("long").alias("n"))
-        step = lambda a, x: F.struct(F.greatest(a["end"], x["ends"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["ends"] - F.greatest(a["end"], x["starts"]))).cast("long").alias("n"))
-        hit = F.aggregate(pairs, start, step, lambda a: a["n"])
-    else:
-        hit = F.aggregate(F.zip_with("starts", "ends", lambda s, e: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    return found.select(F.col("_id._key").alias(key), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("starts") > 0).alias("contaminated"), F.size("near").cast("long").alias("n_near"), "items", "starts", "ends")
+        found = found.unionByName(search(stored, asked, frequencies(stored, asked)))
+    found = common.stored(found)
+    flat = lambda c: F.flatten(F.collect_list(c))
+    distinct = lambda c: F.array_sort(F.array_distinct(flat(c))).alias(c)
+    found = found.groupBy("chunk", "at").agg(F.array_sort(F.arrays_zip(flat("starts").alias("s"), flat("ends").alias("e"))).alias("_runs"), distinct("items"), distinct("near"))
+    kind = "array<struct<s:int,e:int>>"
+
+    def step(a, x):  # noqa: ANN001, ANN202
+        last = F.get(a, F.size(a) - 1)
+        grown = F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
+        return F.when((F.size(a) > 0) & (x["s"] <= last["e"]), grown).otherwise(F.concat(a, F.array(x))).cast(kind)
+
+    found = found.withColumn("_runs", F.aggregate(F.col("_runs").cast(kind), F.array().cast(kind), step))
+    every = stored.select("chunk", F.posexplode(F.arrays_zip("keys", "n_words")).alias("at", "x")).select("chunk", "at", F.col("x.keys").alias("_key"), "x.n_words")
+    rows = every.join(found, ["chunk", "at"], "left")
+    none = lambda c, of: F.coalesce(c, F.array().cast(of))
+    runs, items, near = none("_runs", kind), none("items", "array<string>"), none("near", "array<string>")
+    hit = F.aggregate(runs, F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
+    return rows.select(F.col("_key").alias(key), "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (F.size(runs) > 0).alias("contaminated"), F.size(near).cast("long").alias("n_near"), items.alias("items"), F.transform(runs, lambda x: x["s"]).alias("starts"), F.transform(runs, lambda x: x["e"]).alias("ends"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without those that hold a benchmark passage; null keys and texts stay."""
+    """The documents without those that hold a benchmark passage; all columns stay.
+
+    Rows without a key stay, and null and empty texts; where a key repeats, one contaminated row takes all of its rows
+    along. An empty benchmark leaves all.
+    """
     bad = match(docs, benchmark, key, text).where("contaminated").select(key).distinct()
     return docs.join(bad, key, "left_anti").select(*docs.columns)

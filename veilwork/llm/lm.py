@@ -15,7 +15,7 @@ from . import common, text as T
 #: entries of the shared vocabulary: 0 is the start of a text, 1 any word outside it
 VOCABULARY, START, OTHER, BLEND = 2_048, 0, 1, 0.7
 #: bytes of text in a block, whose n-grams are counted before they are sent; n-grams in a bucket, on average at most
-BLOCK, BUCKET = 8 << 20, 1 << 21
+BLOCK, BUCKET = 4 << 20, 1 << 20
 _BEGIN, _WORD, _PAIR = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -152,18 +152,6 @@ class _Grams:
         self.words = begin + 1
 
 
-def _packed(*columns: np.ndarray) -> bytes:
-    """Columns of 64 bits, byte by byte of all numbers, so that bytes that are always 0 take no room."""
-    raw = b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _unpacked(data: bytes, columns: int) -> np.ndarray:
-    """The columns that _packed took, as rows of a uint64 array."""
-    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(columns, 8, -1).transpose(0, 2, 1)).view(np.uint64)[..., 0]
-
-
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """The rows of each value of the first column, which is sorted."""
     held: list[tuple] = []
@@ -215,7 +203,7 @@ def whole_score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: s
                 g = _Grams(b)
                 cut = [0, *np.searchsorted(g.keys, limits).tolist(), len(g.keys)]
                 some = [i for i in range(buckets) if cut[i] < cut[i + 1]]
-                data = [_packed(np.diff(g.keys[cut[i] : cut[i + 1]], prepend=np.uint64(0)), g.n[cut[i] : cut[i + 1]], g.of[cut[i] : cut[i + 1]]) for i in some]
+                data = [T.packed(np.diff(g.keys[cut[i] : cut[i + 1]], prepend=np.uint64(0)), g.n[cut[i] : cut[i + 1]], g.of[cut[i] : cut[i + 1]]) for i in some]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([False] * len(some)), pa.array(data, pa.binary())], names=names)
                 if not near:
                     out = pa.BufferOutputStream()
@@ -238,7 +226,7 @@ def whole_score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: s
         for run in _runs(passed(batches)):
             yield from kept
             kept.clear()
-            blocks, parts = [r[1] for r in run], [_unpacked(r[3], 3) for r in run]
+            blocks, parts = [r[1] for r in run], [T.unpacked(r[3], 3) for r in run]
             ends = np.cumsum([p.shape[1] for p in parts])
             known, at = np.unique(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), return_inverse=True)
             near = np.repeat(np.array(blocks) < 0, [p.shape[1] for p in parts])
@@ -250,14 +238,14 @@ def whole_score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: s
                     out.append(total)
             for block, end, p in zip(blocks, ends, parts, strict=True):
                 if block >= 0:
-                    yield row(block, run[0][0], _packed(*[t[at[end - p.shape[1] : end]] for t in out]))
+                    yield row(block, run[0][0], T.packed(*[t[at[end - p.shape[1] : end]] for t in out]))
         yield from kept
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _runs(batches):
             [b] = pa.ipc.open_stream(run[0][2])
             g, rows = _Grams(b), b.num_rows
-            counts = np.concatenate([_unpacked(r[2], 4) for r in run[1:]], axis=1).astype(np.float64)
+            counts = np.concatenate([T.unpacked(r[2], 4) for r in run[1:]], axis=1).astype(np.float64)
             word, pair = g.place[: g.words], g.place[g.words :]
             n, losses = np.bincount(g.row, minlength=rows), []
             for (c, of), total in zip((counts[:2], counts[2:]), totals, strict=True):

@@ -119,3 +119,15 @@ def runs(h: np.ndarray, row: np.ndarray, n: int, salt: int = 0) -> tuple[np.ndar
     total = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * np.multiply.accumulate(up), out=total[1:])
     return mix((total[n:] - total[:-n])[place] * np.multiply.accumulate(down)[place]), place
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of 64 bits, byte by byte of all numbers, so that bytes that are always 0 take no room."""
+    raw = b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, columns: int) -> np.ndarray:
+    """The columns that packed took, as rows of a uint64 array."""
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(columns, 8, -1).transpose(0, 2, 1)).view(np.uint64)[..., 0]
