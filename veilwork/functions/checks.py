@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,13 +70,23 @@ def ssn(value: Column) -> Column:
 
 
 def hmac(key: bytes, message: Column) -> Column:
-    """HMAC-SHA256 as hex, from the hash alone; the key's pads are literals of the plan."""
-    k = key.ljust(64, b"\0")
+    """HMAC-SHA256 as hex, from the hash alone; the key's pads are literals of the plan. Keys over 64 bytes are hashed first."""
+    k = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
     pad = lambda v: F.lit(bytes(x ^ v for x in k))
     inner = F.sha2(F.concat(pad(0x36), message.cast("binary")), 256)
     return F.sha2(F.concat(pad(0x5C), F.unhex(inner)), 256)
 
 
+def seed_fingerprint(seed: bytes) -> str:
+    """What names a seed without telling it."""
+    return hashlib.sha256(seed).hexdigest()[:16]
+
+
+def formatted(value: Column) -> Column:
+    """Four decimals, N/A for null."""
+    return F.when(value.isNull(), "N/A").otherwise(F.format_string("%.4f", value.cast("double")))
+
+
 def number(hexed: Column, start: int, n: int) -> Column:
     """n hex characters from `start` (from 0) as a number."""
     return F.conv(F.substring(hexed, start + 1, n), 16, 10).cast("long")

@@ -2,6 +2,11 @@
 
 TYPES = ("PERSON", "EMAIL", "PHONE", "COMPANY", "ADDRESS", "SSN", "CREDIT_CARD", "DOB", "IPV4", "PAN", "AADHAAR", "PASSPORT", "GSTIN", "CIN", "IFSC", "PIN_CODE", "BIOMETRIC", "QR_CODE")
 CORPORATE = ("COMPANY", "CIN", "GSTIN", "IFSC")
+#: types that take the identity of a block's only person, or of its only company
+PERSONAL_LINKS = ("EMAIL", "PHONE", "ADDRESS", "DOB", "PAN", "AADHAAR", "PASSPORT")
+CORPORATE_LINKS = ("EMAIL", "PHONE", "ADDRESS", "CIN", "GSTIN", "IFSC")
+#: types that reports list always, and their labels
+REQUIRED = {"PERSON": "Full names", "EMAIL": "Email addresses", "PHONE": "Phone numbers", "COMPANY": "Company names", "ADDRESS": "Physical/mailing addresses", "SSN": "Social Security Numbers (SSNs)", "CREDIT_CARD": "Credit card numbers", "DOB": "Dates of birth", "IPV4": "IP addresses"}
 #: overlap resolution: a higher number wins
 PRIORITY = {"PAN": 100, "AADHAAR": 100, "PASSPORT": 100, "SSN": 100, "CREDIT_CARD": 100, "EMAIL": 95, "PHONE": 95, "IPV4": 95, "GSTIN": 90, "CIN": 90, "IFSC": 90, "DOB": 90, "ADDRESS": 80, "PERSON": 70, "COMPANY": 60, "PIN_CODE": 20, "BIOMETRIC": 100, "QR_CODE": 100}
 

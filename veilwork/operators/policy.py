@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import ACTIONS, CORPORATE
+from ..functions.constants import ACTIONS, CORPORATE, CORPORATE_LINKS, PERSONAL_LINKS
 from ..functions.spans import normalized
 
 
@@ -36,8 +36,7 @@ def with_identity(records: DataFrame) -> DataFrame:
     anchors = lambda t: F.sum(F.when(F.col("pii_type") == t, 1).otherwise(0)).over(block)
     only = lambda t, x: F.when(anchors(t) == 1, F.max(F.when(F.col("pii_type") == t, x)).over(block))
     typed = F.concat_ws("|", "pii_type", "normalized_text")
-    personal = F.col("pii_type").isin("EMAIL", "PHONE", "ADDRESS", "SSN", "CREDIT_CARD", "DOB", "IPV4", "PAN", "AADHAAR", "PASSPORT")
-    corporate = F.col("pii_type").isin("CIN", "GSTIN", "IFSC", "EMAIL", "PHONE", "ADDRESS")
+    personal, corporate = F.col("pii_type").isin(*PERSONAL_LINKS), F.col("pii_type").isin(*CORPORATE_LINKS)
     own = F.when(F.col("pii_type").isin(*CORPORATE), _hashed("org-", typed)).otherwise(_hashed("entity-", typed))
     linked = F.coalesce(F.when(personal, only("PERSON", person)), given, F.when(corporate, only("COMPANY", org)), own)
     return records.withColumn("identity_id", F.when(F.col("pii_type") == "PERSON", person).when(F.col("pii_type") == "COMPANY", org).otherwise(linked))
@@ -91,8 +90,13 @@ def decided(records: DataFrame, decisions: DataFrame, blocks: DataFrame | None =
     return rows.withColumns(out).drop("_block", "_text", *[f"_{c}" for c in _OPTIONAL])
 
 
-def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Decisions of old replaced by those of new with the same record; blank ones change nothing."""
+def upserted(old: DataFrame, new: DataFrame, source_hash: str | None = None) -> DataFrame:
+    """Decisions of old replaced by those of new with the same record; blank ones change nothing.
+
+    With source_hash, decisions of old about another source go, and all that stay carry it.
+    """
+    if source_hash is not None:
+        old, new = old.where(F.col("source_hash") == source_hash), new.withColumn("source_hash", F.lit(source_hash))
     both = old.withColumn("_new", F.lit(0)).unionByName(new.where(F.trim("action") != "").withColumn("_new", F.lit(1)))
     by = Window.partitionBy("record_id").orderBy(F.desc("_new"), F.desc("line"))
     return both.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n", "_new")
@@ -102,3 +106,12 @@ def privacy_first(records: DataFrame) -> DataFrame:
     """Decisions that close every pending record: corporate ones are protected, the rest redacted."""
     pending = records.where("policy_action = 'REVIEW'")
     return pending.select("record_id", F.when(F.col("pii_type").isin(*CORPORATE), "PROTECT").otherwise("REDACT").alias("action"))
+
+
+def finalized(queue: DataFrame) -> DataFrame:
+    """Decisions that close a review queue with its source_hash, identity_id and a note; a queue of several sources, or of an unnamed one, stops the query."""
+    named = F.coalesce(F.trim("source_hash"), F.lit(""))
+    one = queue.agg(F.min(named).alias("_low"), F.max(named).alias("_high")).where(F.assert_true((F.col("_low") == F.col("_high")) & (F.col("_low") != ""), "the queue's source hashes are missing or differ").isNull())
+    keep = F.col("pii_type").isin(*CORPORATE)
+    note = F.concat(F.lit(PRIVACY_FIRST + " "), F.when(keep, "the corporate fact stays").otherwise("personal data is redacted"))
+    return queue.join(F.broadcast(one.select("_low")), named == F.col("_low")).select("record_id", "source_hash", F.when(keep, "PROTECT").otherwise("REDACT").alias("action"), "identity_id", note.alias("note"))

@@ -122,6 +122,17 @@ def residuals(blocks: DataFrame, records: DataFrame) -> DataFrame:
     return r.where(F.rlike("_rest", bounded)).select("record_id", "block_id", "original_text").distinct()
 
 
+def gate(run) -> DataFrame:  # noqa: ANN001
+    """One row: unresolved records, replacements not applied, residuals (null while records are unresolved), final (none
+    unresolved: the output is no draft) and passed (final, and both checks found nothing)."""
+    pending = run.records.agg(F.count_if(F.col("policy_action") == "REVIEW").alias("unresolved"))
+    missed = application_failures(run.redacted, run.records).agg(F.count("*").alias("not_applied"))
+    left = residuals(run.redacted, run.records).agg(F.count("*").alias("_left"))
+    rows = pending.crossJoin(missed).crossJoin(left)  # one row each
+    final = F.col("unresolved") == 0
+    return rows.select("unresolved", "not_applied", F.when(final, F.col("_left")).alias("residuals"), final.alias("final"), (final & (F.col("not_applied") == 0) & (F.col("_left") == 0)).alias("passed"))
+
+
 def scrubbed_urls(pages: DataFrame, originals: Sequence[tuple[str, str]], url: str = "url") -> DataFrame:
     """Pages whose url has each (original, replacement) replaced, the last entry of an original counting."""
     out = F.col(url)

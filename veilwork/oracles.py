@@ -25,8 +25,13 @@ LINES = f"""lines AS (SELECT CAST(doc_id AS VARCHAR) AS document, unnest(string_
   generate_subscripts(string_split(translate(text, {_O} || {_C}, ''), chr(10)), 1) - 1 AS paragraph_index FROM documents)"""
 TEXT_BLOCKS = f"""{LINES}, text_blocks AS (SELECT 'text' AS document_part, document, document || '#p' || paragraph_index AS block_id,
   CAST(paragraph_index AS INTEGER) AS paragraph_index, text FROM lines WHERE trim(text) <> '')"""
-BLOCKS = f"""{TEXT_BLOCKS}, blocks AS (SELECT *, replace(lower(text), 'ß', 'ss') AS low FROM (SELECT * FROM text_blocks
-  UNION ALL SELECT * FROM ({FIXTURES}) AS f(document_part, document, block_id, paragraph_index, text)))"""
+BLOCKS = f"{TEXT_BLOCKS}, blocks AS (SELECT *, replace(lower(text), 'ß', 'ss') AS low FROM text_blocks)"
+FIXTURE_BLOCKS = f"blocks AS (SELECT *, replace(lower(text), 'ß', 'ss') AS low FROM ({FIXTURES}) AS f(document_part, document, block_id, paragraph_index, text))"
+
+
+def on_fixtures(sql: str) -> str:
+    """The same SQL over the fixture blocks instead of the lines of documents."""
+    return sql.replace(BLOCKS, FIXTURE_BLOCKS)
 
 
 def _found(name: str, pattern: str, where: str, marked: bool = False) -> str:
@@ -133,8 +138,8 @@ def policy(scope: str) -> str:
 _ONE = lambda t, p: f"CASE WHEN count(*) FILTER (pii_type = '{t}') OVER b = 1 THEN max(CASE WHEN pii_type = '{t}' THEN '{p}' || left(sha256(normalized_text), 12) END) OVER b END"
 LINKED = RESOLVED + f""", linked AS (SELECT *, {policy('protect')} AS policy_action, CASE
   WHEN pii_type = 'PERSON' THEN 'person-' || left(sha256(normalized_text), 12) WHEN pii_type = 'COMPANY' THEN 'org-' || left(sha256(normalized_text), 12)
-  ELSE coalesce(CASE WHEN pii_type IN ('EMAIL', 'PHONE', 'ADDRESS', 'SSN', 'CREDIT_CARD', 'DOB', 'IPV4', 'PAN', 'AADHAAR', 'PASSPORT') THEN {_ONE('PERSON', 'person-')} END,
-    CASE WHEN pii_type IN ('CIN', 'GSTIN', 'IFSC', 'EMAIL', 'PHONE', 'ADDRESS') THEN {_ONE('COMPANY', 'org-')} END,
+  ELSE coalesce(CASE WHEN pii_type IN {C.PERSONAL_LINKS} THEN {_ONE('PERSON', 'person-')} END,
+    CASE WHEN pii_type IN {C.CORPORATE_LINKS} THEN {_ONE('COMPANY', 'org-')} END,
     CASE WHEN pii_type IN {_CORP} THEN 'org-' ELSE 'entity-' END || left(sha256(pii_type || '|' || normalized_text), 12)) END AS identity_id
   FROM recs WINDOW b AS (PARTITION BY block_id))"""
 SEED = b"test-secret"
@@ -184,3 +189,11 @@ REPLACED = valued("synthetic") + """, replaced AS (SELECT *, CASE WHEN policy_ac
 REDACTED = REPLACED + """, spliced AS (SELECT block_id, list({'s': start_offset, 'e': end_offset, 'r': replacement_value} ORDER BY start_offset) AS l FROM replaced WHERE replacement_value IS NOT NULL GROUP BY block_id),
 redacted AS (SELECT b.block_id, b.text, CASE WHEN l IS NULL THEN b.text ELSE list_aggregate(list_transform(range(1, len(l) + 1), lambda i: substr(b.text, CASE WHEN i = 1 THEN 1 ELSE l[i - 1].e + 1 END, l[i].s - CASE WHEN i = 1 THEN 0 ELSE l[i - 1].e END) || l[i].r), 'string_agg', '') || substr(b.text, l[len(l)].e + 1) END AS redacted FROM blocks b LEFT JOIN spliced USING (block_id))"""
 GOLD = "gold AS (SELECT * FROM (" + _values([(b[1], "benchmark", f"benchmark#p{k}", b[2], b[3]) for k, b in enumerate(C.BENCHMARK, 1) if b[1]]) + ") AS g(pii_type, document_part, block_id, start_offset, end_offset))"
+
+#: records whose original stands, bounded by words, in its block of `written` (block_id, redacted) after the block's replacements are taken out
+_EDGE = r"[^\p{L}\p{M}\p{N}\p{Pc}]"
+_ALNUM = r"'[\p{L}\p{N}]'"
+RESIDUAL = rf"""taken AS (SELECT block_id, string_agg(regexp_escape(v), '|' ORDER BY length(v) DESC, v DESC) AS pattern FROM (SELECT DISTINCT block_id, lower(replacement_value) AS v FROM replaced WHERE replacement_value <> '') GROUP BY block_id),
+rest AS (SELECT block_id, CASE WHEN pattern IS NULL THEN lower(redacted) ELSE regexp_replace(lower(redacted), pattern, chr(10), 'g') END AS rest FROM written LEFT JOIN taken USING (block_id)),
+residual AS (SELECT DISTINCT record_id, block_id, original_text FROM replaced JOIN rest USING (block_id) WHERE replacement_value IS NOT NULL AND length(trim(original_text)) >= 4
+  AND regexp_matches(rest, CASE WHEN regexp_full_match(left(original_text, 1), {_ALNUM}) THEN '(^|{_EDGE})' ELSE '' END || regexp_escape(lower(original_text)) || CASE WHEN regexp_full_match(right(original_text, 1), {_ALNUM}) THEN '($|{_EDGE})' ELSE '' END))"""

@@ -1,6 +1,7 @@
 """Registered queries of the engine's own operators, each beside its SQL.
 
-Blocks are the lines of `documents` and the fixture blocks, which hold the types that the tables lack.
+Blocks are the lines of `documents`; queries named `fixture_*` and `eval_*` read the fixture blocks, which hold the types
+that the tables lack.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def _text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _text_blocks(spark, sf_dir).unionByName(B.fixtures(spark))
+    return _text_blocks(spark, sf_dir)
 
 
 def _records(spark: SparkSession, sf_dir: str, scope: str = "protect") -> DataFrame:
@@ -372,16 +373,23 @@ def qa_application_failures(spark, sf_dir):
     return redact.application_failures(r.redacted, r.records)
 
 
-@_query()
+@_query(O.REDACTED + ", written AS (SELECT block_id, redacted FROM redacted), " + O.RESIDUAL + " SELECT * FROM residual")
 def qa_residual_scan(spark, sf_dir):
     r = _run(spark, sf_dir)
     return redact.residuals(r.redacted, r.records)
 
 
-@_query(O.LINKED + " SELECT count(*) FILTER (policy_action = 'REVIEW') AS unresolved, count(*) FILTER (policy_action = 'REVIEW') = 0 AS final FROM linked")
+@_query(O.REPLACED + ", written AS (SELECT block_id, text AS redacted FROM blocks), " + O.RESIDUAL + " SELECT * FROM residual")
+def qa_residuals_of_source(spark, sf_dir):
+    """The scan over blocks in which nothing was replaced, so that every approved original is a residual."""
+    r = _run(spark, sf_dir)
+    return redact.residuals(r.blocks.withColumn("redacted", F.col("text")), r.records)
+
+
+@_query(O.REDACTED + ", written AS (SELECT block_id, redacted FROM redacted), " + O.RESIDUAL + """, counts AS (SELECT (SELECT count(*) FROM replaced WHERE policy_action = 'REVIEW') AS unresolved, (SELECT count(*) FROM replaced r JOIN redacted d USING (block_id) WHERE replacement_value IS NOT NULL AND NOT contains(redacted, replacement_value)) AS not_applied, (SELECT count(*) FROM residual) AS left_over)
+SELECT unresolved, not_applied, CASE WHEN unresolved = 0 THEN left_over END AS residuals, unresolved = 0 AS final, unresolved = 0 AND not_applied = 0 AND left_over = 0 AS passed FROM counts""")
 def release_gate(spark, sf_dir):
-    pending = F.count_if(F.col("policy_action") == "REVIEW")
-    return _records(spark, sf_dir).agg(pending.alias("unresolved"), (pending == 0).alias("final"))
+    return redact.gate(_run(spark, sf_dir))
 
 
 @_query(O.REDACTED + " SELECT document, string_agg(x.text, chr(10) ORDER BY paragraph_index) <> string_agg(redacted, chr(10) ORDER BY paragraph_index) AS changed FROM redacted x JOIN blocks USING (block_id) GROUP BY document")
@@ -413,6 +421,44 @@ def span_run_overlap(spark, sf_dir):
     return rows.select("record_id", "run", F.greatest("start_offset", "rs").alias("start_offset"), F.least("end_offset", "re").alias("end_offset"))
 
 
+# fixture blocks --------------------------------------------------------------------------------------------------
+
+
+def _fixture_run(spark: SparkSession) -> engine.Result:
+    return engine.run(B.fixtures(spark), SEED)
+
+
+@_query(O.on_fixtures(O.FOUND) + " SELECT * EXCLUDE (ord) FROM found")
+def fixture_detections(spark, sf_dir):
+    return detect.detections(B.fixtures(spark)).drop("det_ord")
+
+
+@_query(O.on_fixtures(O.LINKED) + " SELECT record_id, pii_type, original_text, policy_action, identity_id, round(final_confidence, 6) AS final_confidence FROM linked")
+def fixture_records(spark, sf_dir):
+    return engine.records(B.fixtures(spark)).select("record_id", "pii_type", "original_text", "policy_action", "identity_id", F.round("final_confidence", 6).alias("final_confidence"))
+
+
+def _fixture_mode(name: str, mode: str) -> None:
+    @_query(O.on_fixtures(O.valued(mode)) + " SELECT record_id, value FROM valued", name)
+    def one(spark, sf_dir):
+        return pseudonyms.with_value(engine.records(B.fixtures(spark)), SEED, mode).select("record_id", "value")
+
+
+for _n, _m in (("fixture_mask", "mask"), ("fixture_partial", "partial"), ("fixture_synthetic", "synthetic")):
+    _fixture_mode(_n, _m)
+
+
+@_query(O.on_fixtures(O.REDACTED) + " SELECT block_id, redacted FROM redacted")
+def fixture_redaction(spark, sf_dir):
+    return _fixture_run(spark).redacted.select("block_id", "redacted")
+
+
+@_query(O.on_fixtures(O.REPLACED) + ", written AS (SELECT block_id, text AS redacted FROM blocks), " + O.RESIDUAL + " SELECT * FROM residual")
+def fixture_residuals(spark, sf_dir):
+    r = _fixture_run(spark)
+    return redact.residuals(r.blocks.withColumn("redacted", F.col("text")), r.records)
+
+
 # evaluation on the controlled benchmark --------------------------------------------------------------------------
 
 
@@ -420,7 +466,7 @@ def _predictions(spark):
     return resolve.records(engine.spans(B.fixtures(spark, samples=False)))
 
 
-_PRED = O.RESOLVED + f", {O.GOLD}, pred AS (SELECT * FROM recs WHERE document_part = 'benchmark'), keys AS (SELECT pii_type, document_part, block_id, start_offset, end_offset, count(*) FILTER (p) AS n_pred, count(*) FILTER (NOT p) AS n_gold FROM (SELECT pii_type, document_part, block_id, start_offset, end_offset, true AS p FROM pred UNION ALL SELECT *, false FROM gold) GROUP BY ALL), matches AS (SELECT *, least(n_pred, n_gold) AS tp FROM keys)"
+_PRED = O.on_fixtures(O.RESOLVED) + f", {O.GOLD}, pred AS (SELECT * FROM recs WHERE document_part = 'benchmark'), keys AS (SELECT pii_type, document_part, block_id, start_offset, end_offset, count(*) FILTER (p) AS n_pred, count(*) FILTER (NOT p) AS n_gold FROM (SELECT pii_type, document_part, block_id, start_offset, end_offset, true AS p FROM pred UNION ALL SELECT *, false FROM gold) GROUP BY ALL), matches AS (SELECT *, least(n_pred, n_gold) AS tp FROM keys)"
 _PRF = "tp, fp, fn, CASE WHEN tp + fp <> 0 THEN CAST(tp AS DOUBLE) / (tp + fp) END AS precision, CASE WHEN tp + fn <> 0 THEN CAST(tp AS DOUBLE) / (tp + fn) END AS recall"
 _F1 = "*, CASE WHEN precision + recall <> 0 THEN 2 * precision * recall / (precision + recall) END AS f1"
 
@@ -452,6 +498,37 @@ def detector_contribution(spark, sf_dir):
     return p.join(hit, evaluate.KEY, "left_semi").select(F.explode("evidence").alias("x")).groupBy("x.source").agg(F.count("*").alias("n"))
 
 
+_BANDS = "CASE WHEN final_confidence >= 0.85 THEN 'high' WHEN final_confidence >= 0.60 THEN 'medium' ELSE 'low' END"
+_MARKED = "marked AS (SELECT p.*, m.tp > 0 AS matched FROM pred p JOIN matches m USING (pii_type, document_part, block_id, start_offset, end_offset))"
+
+
+@_query(_PRED + f", {_MARKED}, n AS (SELECT (SELECT count(*) FROM pred p JOIN gold g USING (pii_type, block_id) WHERE least(p.end_offset, g.end_offset) - greatest(p.start_offset, g.start_offset) >= 0.5 * least(p.end_offset - p.start_offset, g.end_offset - g.start_offset)) AS tp, (SELECT count(*) FROM pred) AS np, (SELECT count(*) FROM gold) AS ng) SELECT {_F1.replace('*', 'r.*', 1)}, (SELECT CAST(count(*) FILTER (matched AND review_status = 'AUTO_APPROVED') AS DOUBLE) / nullif(count(*) FILTER (review_status = 'AUTO_APPROVED'), 0) FROM marked) AS automatic_precision, (SELECT CAST(count(*) FILTER (review_status IN ('NEEDS_REVIEW', 'LOW_CONFIDENCE')) AS DOUBLE) / nullif(count(*), 0) FROM pred) AS review_workload, CAST(NULL AS DOUBLE) AS image_coverage FROM (SELECT {_PRF} FROM (SELECT tp, np - tp AS fp, ng - tp AS fn FROM n)) r")
+def eval_overall(spark, sf_dir):
+    return evaluate.overall(_predictions(spark), evaluate.gold(spark))
+
+
+@_query(_PRED + f", {_MARKED} SELECT band, coalesce(predictions, 0) AS predictions, coalesce(tp, 0) AS tp, CASE WHEN predictions > 0 THEN CAST(tp AS DOUBLE) / predictions END AS precision FROM (VALUES ('high'), ('medium'), ('low')) AS b(band) LEFT JOIN (SELECT {_BANDS} AS band, count(*) AS predictions, count(*) FILTER (matched) AS tp FROM marked GROUP BY 1) USING (band)")
+def eval_confidence_bands(spark, sf_dir):
+    return evaluate.bands(_predictions(spark), evaluate.gold(spark))
+
+
+@_query(O.RESOLVED + f", {_LATEST} SELECT action, count(*) AS n FROM last JOIN recs USING (record_id) GROUP BY 1")
+def eval_human_actions(spark, sf_dir):
+    rows = _plain(spark, sf_dir)
+    return evaluate.human_actions(policy.decided(rows, _decisions(rows)))
+
+
+#: made-up boxes of one image for each order: one predicted, one in gold
+_PRED_BOX, _GOLD_BOX = ("o_orderkey % 7", "o_orderkey % 5", "o_orderkey % 7 + 10", "o_orderkey % 5 + 8"), ("o_custkey % 6", "o_custkey % 4", "o_custkey % 6 + 9", "o_custkey % 4 + 9")
+
+
+@_query(f"SELECT media_name, round(i / (a + b - i), 9) AS iou FROM (SELECT 'image' || o_orderkey AS media_name, CAST(greatest(0, least({_PRED_BOX[2]}, {_GOLD_BOX[2]}) - greatest({_PRED_BOX[0]}, {_GOLD_BOX[0]})) * greatest(0, least({_PRED_BOX[3]}, {_GOLD_BOX[3]}) - greatest({_PRED_BOX[1]}, {_GOLD_BOX[1]})) AS DOUBLE) AS i, 80 AS a, 81 AS b FROM orders) WHERE i / (a + b - i) >= 0.5")
+def eval_image_matches(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders")
+    boxes = lambda xs: o.select(F.lit("QR_CODE").alias("pii_type"), F.concat(F.lit("image"), "o_orderkey").alias("media_name"), F.array(*[F.expr(x).cast("int") for x in xs]).alias("bounding_box"))
+    return evaluate.images(boxes(_PRED_BOX), boxes(_GOLD_BOX)).select("media_name", F.round("iou", 9).alias("iou"))
+
+
 @_query(_PRED + ", marks AS (SELECT block_id IN (SELECT block_id FROM pred) AS p, block_id IN (SELECT block_id FROM gold) AS g FROM blocks WHERE document_part = 'benchmark') SELECT *, CAST(tp + tn AS DOUBLE) / (tp + tn + fp + fn) AS accuracy FROM (SELECT count(*) FILTER (p AND g) AS tp, count(*) FILTER (NOT p AND NOT g) AS tn, count(*) FILTER (p AND NOT g) AS fp, count(*) FILTER (NOT p AND g) AS fn FROM marks)")
 def block_classification(spark, sf_dir):
     return evaluate.by_block(B.fixtures(spark, samples=False), _predictions(spark), evaluate.gold(spark))

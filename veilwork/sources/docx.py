@@ -11,7 +11,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from xml.parsers import expat
-from xml.sax.saxutils import escape
+from xml.sax.saxutils import escape, unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +63,49 @@ def paragraphs(xml: bytes) -> list[list[tuple[int, int, str]]]:
     return out
 
 
+def table_contexts(xml: bytes, cells: int = 8, width: int = 120) -> list[str]:
+    """For every paragraph, the row of the innermost table cell around it: its first non-empty cells, each cut, " | " between.
+
+    Empty outside tables, "table-cell" in a cell without a row.
+    """
+    parser = expat.ParserCreate(namespace_separator=" ")
+    parser.buffer_text = True
+    stack: list[tuple[str, list | None]] = []  # (tag, the row's cells or the cell's pieces of text)
+    out: list[list | str] = []
+    node = [False]
+
+    def start(name: str, attributes: dict) -> None:
+        space, _, tag = name.rpartition(" ")
+        tag = tag if space == W else ""
+        if tag == "p":
+            inside = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "tc"), None)
+            rows = [x for t, x in stack[: inside or 0] if t == "tr"]
+            out.append("" if inside is None else rows[-1] if rows else "table-cell")
+        held: list | None = [] if tag in ("tr", "tc") else None
+        if tag == "tc" and stack and stack[-1][0] == "tr":
+            stack[-1][1].append(held)
+        stack.append((tag, held))
+        node[0] = tag == "t"
+
+    def data(text: str) -> None:
+        if node[0]:
+            for tag, held in stack:
+                if tag == "tc":
+                    held.append(text)
+
+    def end(name: str) -> None:
+        node[0] = False
+        stack.pop()
+
+    parser.StartElementHandler, parser.CharacterDataHandler, parser.EndElementHandler = start, data, end
+    try:
+        parser.Parse(xml, True)
+    except expat.ExpatError:
+        return []
+    shown = lambda row: " | ".join([v[:width] for c in row if (v := "".join(c).strip())][:cells])
+    return [x if isinstance(x, str) else shown(x) for x in out]
+
+
 def blocks_of(content: bytes) -> list[tuple[str, str, int, str]]:
     """(part, block id, paragraph index, text) in order of part names; blank paragraphs leave gaps in the index."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -74,8 +117,8 @@ def blocks_of(content: bytes) -> list[tuple[str, str, int, str]]:
         return found
 
 
-def problems(content: bytes) -> str | None:
-    """The first reason to refuse an upload, or None."""
+def problems(content: bytes, whole: bool = False) -> str | None:
+    """The first reason to refuse an upload, or None; with `whole`, every part is read, against its checksum, and parsed."""
     if len(content) > LIMITS["bytes"]:
         return "too large"
     try:
@@ -94,9 +137,44 @@ def problems(content: bytes) -> str | None:
         return "encrypted"
     if any(n.startswith(("/", "\\")) or ".." in re.split(r"[/\\]", n) for n in names):
         return "unsafe path"
+    if whole:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            try:
+                if bad := z.testzip():
+                    return f"corrupt part {bad}"
+                for n in names:
+                    if n.endswith((".xml", ".rels")):
+                        part = n
+                        expat.ParserCreate().Parse(z.read(n), True)
+            except zipfile.BadZipFile as e:
+                return f"corrupt package: {e}"
+            except expat.ExpatError as e:
+                return f"cannot be read again: {part}: {e}"
     return None
 
 
+def retargeted(xml: bytes, values: dict[str, str]) -> bytes:
+    """A relationships part in which the external targets have every original replaced, the longest first, case aside."""
+    known = {k.lower(): v for k, v in values.items() if k and v}
+    if not known:
+        return xml
+    pattern = re.compile("|".join(map(re.escape, sorted(known, key=lambda k: (-len(k), k)))), re.IGNORECASE)
+    quoted = {'"': "&quot;"}
+
+    def element(m: re.Match) -> bytes:
+        if not re.search(rb'\bTargetMode\s*=\s*(["\'])External\1', m[0]):
+            return m[0]
+
+        def target(t: re.Match) -> bytes:
+            plain = unescape(t[3].decode(), {"&quot;": '"', "&apos;": "'"})
+            new = pattern.sub(lambda x: known.get(x.group().lower(), x.group()), plain)
+            return t[0] if new == plain else t[1] + b'"' + escape(new, quoted).encode() + b'"'
+
+        return re.sub(rb'(\bTarget\s*=\s*)(["\'])(.*?)\2', target, m[0], flags=re.DOTALL)
+
+    return re.sub(rb"<(?:\w+:)?Relationship\b[^>]*>", element, xml)
+
+
 def scrubbed(name: str, xml: bytes) -> bytes | None:
     """A part without author names and custom properties; None to leave it out."""
     if name == "docProps/custom.xml":
@@ -136,8 +214,9 @@ def rewritten_part(xml: bytes, spans: dict[int, list[tuple[int, int, str]]]) ->
     return b"".join([*parts, xml[at:]])
 
 
-def rewritten(content: bytes, spans: dict[str, list[tuple[int, int, str]]], media: dict[str, bytes] | None = None) -> bytes:
-    """The package with spans by block id replaced, media swapped and metadata scrubbed; other entries as they were."""
+def rewritten(content: bytes, spans: dict[str, list[tuple[int, int, str]]], media: dict[str, bytes] | None = None, values: dict[str, str] | None = None) -> bytes:
+    """The package with spans by block id replaced, media swapped, originals in external targets replaced by `values`, and
+    metadata scrubbed; other entries as they were."""
     by_part: dict[str, dict[int, list]] = {}
     for block, some in spans.items():
         part, _, k = block.rpartition("#p")
@@ -151,6 +230,8 @@ def rewritten(content: bytes, spans: dict[str, list[tuple[int, int, str]]], medi
             if info.filename in by_part:
                 raw = rewritten_part(raw, by_part[info.filename])
             raw = scrubbed(info.filename, raw)
+            if raw is not None and info.filename.endswith(".rels"):
+                raw = retargeted(raw, values or {})
             if raw is not None:
                 to.writestr(info.filename, raw)
     return out.getvalue()
@@ -187,6 +268,21 @@ def blocks(packages: DataFrame) -> DataFrame:
     return packages.mapInPandas(run, "document_part string, document string, block_id string, paragraph_index int, text string")
 
 
+def contexts(packages: DataFrame) -> DataFrame:
+    """(document, block_id, table_context) of the blocks that stand in tables."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in parts:
+            rows = []
+            for d, c in zip(f["document"], f["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(c)) as z:
+                    known = {part: table_contexts(z.read(part)) for part in filter(is_text_part, z.namelist())}
+                rows += [(d, f"{d}!{b}", known[part][k]) for part, b, k, _ in blocks_of(c) if known[part][k]]
+            yield pd.DataFrame(rows, columns=["document", "block_id", "table_context"])
+
+    return packages.mapInPandas(run, "document string, block_id string, table_context string")
+
+
 def inventory(packages: DataFrame) -> DataFrame:
     """(document, source_hash, parts, text_parts, media, problem) of each package."""
 
@@ -225,7 +321,9 @@ def redacted(packages: DataFrame, records: DataFrame, images: DataFrame | None =
     """(document, content) with every replacement of the records written into its package, and each image of `images`
     (document, media_name, width, height) replaced by a placeholder."""
     spans = records.where("replacement_value IS NOT NULL AND NOT contains(block_id, '!media:')").groupBy("document").agg(F.collect_list(F.struct("block_id", "start_offset", "end_offset", "replacement_value")).alias("spans"))
-    rows = packages.join(spans, "document", "left")
+    # in external targets, the last replacement of an original counts, those of images included
+    last = records.where("replacement_value IS NOT NULL").groupBy("document", "original_text").agg(F.max_by("replacement_value", F.struct("block_id", "start_offset")).alias("v"))
+    rows = packages.join(spans, "document", "left").join(last.groupBy("document").agg(F.map_from_entries(F.collect_list(F.struct("original_text", "v"))).alias("values")), "document", "left")
     if images is None:
         rows = rows.withColumn("images", F.lit(None).cast("array<struct<media_name:string,width:int,height:int>>"))
     else:
@@ -236,11 +334,11 @@ def redacted(packages: DataFrame, records: DataFrame, images: DataFrame | None =
 
         for f in parts:
             out = []
-            for d, c, some, swaps in zip(f["document"], f["content"], f["spans"], f["images"], strict=True):
+            for d, c, some, swaps, values in zip(f["document"], f["content"], f["spans"], f["images"], f["values"], strict=True):
                 by: dict[str, list] = {}
                 for x in some if some is not None else ():
                     by.setdefault(x["block_id"].removeprefix(f"{d}!"), []).append((x["start_offset"], x["end_offset"], x["replacement_value"]))
-                out.append(rewritten(c, by, {x["media_name"]: placeholder(x["media_name"], x["width"], x["height"]) for x in (swaps if swaps is not None else ())}))
+                out.append(rewritten(c, by, {x["media_name"]: placeholder(x["media_name"], x["width"], x["height"]) for x in (swaps if swaps is not None else ())}, dict(values or {})))
             yield pd.DataFrame({"document": f["document"], "content": out})
 
     return rows.mapInPandas(run, "document string, content binary")
