@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from . import common, text as T
 
-PASSAGE, SAMPLE, FITTED, HIDDEN, GATE, EPOCHS, THRESHOLD = 512, 6_000, 24, 32, 16, 40, 0.3
+PASSAGE, HIDDEN, GATE, EPOCHS, THRESHOLD = 512, 32, 16, 40, 0.3
+#: labelled texts that the fit reads at most, and their bytes in all
+SAMPLE, SAMPLE_BYTES = 6_000, 48 << 20
 
 #: each ASCII symbol has a class of its own; letters by case, digits, blanks and other bytes share one each
 _SYMBOLS = [b for b in range(0x21, 0x7F) if not chr(b).isalnum()]
@@ -46,7 +48,8 @@ def passages(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start, end, word_row = T.words(data, at, T.NOT_SPACE)
     if len(start):
         h, of = T.hashes(T.LOWER[data], start, end), own[start]
-        words = np.maximum(1, np.bincount(of, minlength=n)).astype(np.float32)
+        many = np.bincount(of, minlength=n).astype(np.float32)
+        words = np.maximum(1, many)
         k = CLASSES + COARSE * COARSE
         for lag in (1, 2, 3, 4, 8):
             same = (h[lag:] == h[:-lag]) & (of[lag:] == of[:-lag])
@@ -57,7 +60,7 @@ def passages(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         new[1:] = (h[order][1:] != h[order][:-1]) | (of[order][1:] != of[order][:-1])
         x[:, k] = np.bincount(of[order][new], minlength=n) / words
         x[:, k + 1] = np.minimum(20, np.bincount(of, end - start, minlength=n) / words) / 20
-        x[:, k + 2] = np.minimum(1, words / 100)
+        x[:, k + 2] = np.minimum(1, many / 100)  # 0 without words, whatever else is in the chunk
     return np.sqrt(x), count
 
 
@@ -124,14 +127,22 @@ def held_out(key):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model | None:
-    """A model of at most `sample` labelled texts (those with the least hash of their id), at most FITTED passages of each.
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, size: int = SAMPLE_BYTES) -> Model | None:
+    """A model of every passage of labelled texts: those with the least hash of their id, at most `sample` of them.
 
-    Conflicting labels of one id: the lower counts. None without labelled texts.
+    They are taken in that order as long as they have at most `size` bytes together, but the first in any case. Conflicting
+    labels of one id: the lower counts; an id with several texts: the least. Null and empty texts count as one passage of
+    zeros. None without labelled texts.
     """
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).groupBy(key).agg(F.min(label).alias("_y"))
+    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).groupBy(key).agg(F.min(label).cast("double").alias("_y"))
+    spark = docs.sparkSession
     chosen = known.orderBy(F.xxhash64(key), key).limit(sample)
-    ids = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)
+    asked = chosen.collect()
+    sizes = docs.select(key, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("_n")).join(F.broadcast(spark.createDataFrame(asked, chosen.schema)), key)
+    n = {r[0]: r[1] for r in sizes.groupBy(key).agg(F.max("_n")).collect()}
+    rows = [r for r in asked if r[0] in n]
+    total = np.cumsum([n[r[0]] for r in rows])
+    ids = spark.createDataFrame(rows[: max(1, int(np.searchsorted(total, size, "right")))], chosen.schema)
     texts = docs.select(key, text).join(F.broadcast(ids), key).groupBy(key, "_y").agg(F.min(text).alias(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,12 +150,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             for low, high, data, at in T.chunks(b.column(2)):
                 x, count = passages(data, at)
                 end = np.cumsum(count)
-                out = []
-                for e, n in zip(end, count, strict=True):
-                    pick = np.unique(np.linspace(e - n, e - 1, min(n, FITTED)).astype(int))
-                    out.append(x[pick].tobytes())
-                yield pa.RecordBatch.from_arrays([b.column(0)[low:high].cast(pa.string()), b.column(1)[low:high].cast(pa.float64()), pa.array(out, pa.binary())], names=["id", "y", "x"])
+                out = [x[e - n : e].tobytes() for e, n in zip(end, count, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0)[low:high].cast(pa.string()), b.column(1)[low:high], pa.array(out, pa.binary())], names=["id", "y", "x"])
 
+    common.ship(spark)
     rows = sorted(texts.mapInArrow(run, "id string, y double, x binary").collect())
     if not rows:
         return None
@@ -155,8 +164,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def classify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, keep_text: bool = False) -> DataFrame:
     """Each row with held_out, score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold).
 
-    Every passage of the whole text is scored, null as empty; without a model all scores are 0.5. Repeated rows are rows
-    like others; columns named like the new ones are replaced. The text goes unless keep_text is set.
+    Every passage of the whole text is scored, null as empty; without a model all scores are 0.5. Repeated rows and null
+    keys are rows like others; an empty table gives no rows; columns named like the new ones are replaced. The text goes unless keep_text is set.
     """
     spark = docs.sparkSession
     common.ship(spark)
