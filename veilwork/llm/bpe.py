@@ -117,8 +117,9 @@ class Vocabulary:
 def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", limit: int = 512) -> DataFrame:
     """Each row of docs with n_bytes, n_tokens and over_limit (n_tokens > limit) of its whole text, and without the text.
 
-    Null and empty texts have 0 tokens; ties and repeated rows are rows like others; any other columns are kept, but a
-    column named like one of these three is replaced. Nothing is shuffled.
+    Null and empty texts have 0 tokens; ties and repeated rows are rows like others; an empty table gives no rows; a long
+    text is counted whole; any other columns are kept, but a column named like one of these three is replaced. Nothing is
+    shuffled.
     """
     common.ship(docs.sparkSession)
     own = ("n_bytes", "n_tokens", "over_limit")

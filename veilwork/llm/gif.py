@@ -202,7 +202,9 @@ def _fields(df: DataFrame, drop: set[str]) -> list[str]:
 def store_texts(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """Each row with its text as a GIF in column `media`: UTF-8 bytes, filled with 0 to a positive multiple of 64.
 
-    Null counts as empty; n_bytes is the unfilled length. Other columns stay, but for text and clashing names.
+    Null counts as empty; n_bytes is the unfilled length. Other columns stay, but for text and clashing names. Repeated rows
+    are rows like others, and equal texts give equal media; an empty table gives no rows. A text is encoded whole, however
+    long: 65,535 rows of samples a frame, as many frames as it takes.
     """
     common.ship(docs.sparkSession)
 

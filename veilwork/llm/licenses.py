@@ -78,8 +78,9 @@ def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, template
     chained in the order of both text and template, from one diagonal to another at most NEAR apart; a span is verified
     where a chain holds at least `cover` of the template's k-grams, each counted once. score
     is the best such share, 1.0 for any base phrase, 0.0 without spans. spans lists (label, first word, share) of every
-    verified span, the longest chain of those that overlap. Null and empty texts have no words, no labels and score 0.0; repeated rows are rows like others;
-    columns of docs named like the new ones are replaced.
+    verified span, the longest chain of those that overlap. Null and empty texts have no words, no labels and score 0.0;
+    repeated rows and null keys are rows like others; an empty table gives no rows; a long text is read whole, its hits
+    alone being gathered in a row; columns of docs named like the new ones are replaced.
     """
     spark = docs.sparkSession
     rows, known = [(-1, -1, 0, "", True)], [*phrases, *templates]

@@ -56,7 +56,7 @@ def anchors(docs: DataFrame, key: str, text: str, window: int, anchor: int) -> D
                 new[1:] = (least[1:] != least[:-1]) | (of[1:] != of[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(least[new].view(np.int64)), b.column(0).take(pa.array(low + of[new]))], names=["anchor", key])
 
-    return common.stored(docs.select(key, text).mapInArrow(run, f"anchor long, `{key}` long"))
+    return common.stored(docs.select(key, text).mapInArrow(run, f"anchor long, `{key}` {docs.schema[key].dataType.simpleString()}"))
 
 
 def windows(docs: DataFrame, hits: DataFrame, key: str, text: str, window: int, anchor: int, keep: bool) -> DataFrame:
@@ -184,9 +184,9 @@ def covered(docs: DataFrame, key: str, text: str, window: int, keep: bool) -> Da
     common.ship(spark)
     # the least run of half a window is its anchor; of blocks of that length, any window of a passage holds a whole one
     anchor = block = window // 2
-    id_ = F.col(key).cast("long")
+    id_ = F.col(key)
     # 1. anchors that stand in two documents; rows without key neither give nor lose words
-    every = anchors(docs.where(F.col(key).isNotNull()).select(id_.alias(key), text), key, text, window, anchor)
+    every = anchors(docs.where(id_.isNotNull()), key, text, window, anchor)
     again = every.groupBy("anchor").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo < hi").select("anchor")
     hits = every.join(again, "anchor").groupBy(key).agg(F.collect_set("anchor").alias("_anchors"))
     held = windows(docs, hits, key, text, window, anchor, keep)
@@ -233,8 +233,9 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
 
     A word goes if a window of `window` words covers it whose words also start in a row with a smaller key; the input
     decides, not what is left. Text in which nothing recurs stays as it is, white space included. Null or empty texts,
-    texts of fewer words and rows without key lose nothing; rows with one key do not take words from each other. Columns
-    named like the new ones are replaced.
+    texts of fewer words and rows without key lose nothing; rows with one key do not take words from each other, even if
+    they repeat. Keys may be of any type with an order. An empty table gives no rows. Columns named like the new ones are
+    replaced.
     """
     own = ["n_words", "n_removed", "kept_sha256"]
     base = docs.drop(*own) if keep_text else docs.select(key, text)
