@@ -638,6 +638,55 @@ def test_license_spans_count_each_place_of_a_template_once(spark):
     assert rows[5].labels == "cc-by" and rows[5].spans == []
 
 
+def plain_spans(w):
+    """(label, first word, share) of every verified span: for each template, the longest chains of places in order."""
+    out = []
+    for phrase, label in licenses.TEMPLATES:
+        p = phrase.split()
+        need, chains, found = len(p) - 1, [], []
+        for at in range(len(w) - 1):
+            for t in range(need):
+                if w[at : at + 2] != p[t : t + 2]:
+                    continue
+                before = [c for c in chains if c[3] < at and c[4] < t and abs((at - t) - (c[3] - c[4])) <= licenses.NEAR]
+                n, start, low = max(before)[:3] if before else (0, at, at - t)
+                chains.append((n + 1, start, min(low, at - t), at, t))
+                if (n + 1) / need < licenses.COVER:
+                    continue
+                new = (n + 1, start, at, min(low, at - t))
+                if not found or start > found[-1][2]:
+                    found.append(new)
+                elif n + 1 > found[-1][0]:
+                    found[-1] = new
+        out += [(label, low, n / need) for n, _, _, low in found]
+    return sorted(out)
+
+
+def test_license_labels_scores_and_spans_match_brute_force(spark):
+    r, rows = random.Random(21), []
+    vocabulary = sorted({x for p, _ in licenses.TEMPLATES for x in p.split()})
+    for k in range(150):
+        w = []
+        for _ in range(r.randrange(1, 6)):
+            p = r.choice(licenses.TEMPLATES)[0].split()
+            for _ in range(r.randrange(4)):
+                i = r.randrange(len(p))
+                p[i : i + r.randrange(2)] = r.sample(vocabulary, r.randrange(3))
+            w += p[r.randrange(3) :] * r.choice([1, 1, 2]) + r.choices(["x", *vocabulary], k=r.randrange(8))
+        rows.append((k, " ".join(w).title()))
+    rows += [(1000, "4 0 " * 30), (1001, "the of " * 40 + licenses.TEMPLATES[3][0])]
+    got, seen = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect(), 0
+    for x in got:
+        w = letters(dict(rows)[x.doc_id])
+        spans = plain_spans(w)
+        base = {label for phrase, label in licenses.PHRASES if f" {phrase} " in f" {' '.join(w)} "}
+        assert [(s.label, s.first, pytest.approx(s.share)) for s in x.spans] == spans
+        assert x.labels == ",".join(sorted(base | {s[0] for s in spans})) and x.base_labels == ",".join(sorted(base))
+        assert x.score == pytest.approx(1.0 if base else max((s[2] for s in spans), default=0.0))
+        seen += len(spans)
+    assert seen > 100
+
+
 # 9 ---------------------------------------------------------------------------------------------------------------
 
 
