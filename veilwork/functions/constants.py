@@ -11,6 +11,8 @@ REQUIRED = {"PERSON": "Full names", "EMAIL": "Email addresses", "PHONE": "Phone
 PRIORITY = {"PAN": 100, "AADHAAR": 100, "PASSPORT": 100, "SSN": 100, "CREDIT_CARD": 100, "EMAIL": 95, "PHONE": 95, "IPV4": 95, "GSTIN": 90, "CIN": 90, "IFSC": 90, "DOB": 90, "ADDRESS": 80, "PERSON": 70, "COMPANY": 60, "PIN_CODE": 20, "BIOMETRIC": 100, "QR_CODE": 100}
 
 PUBLIC_AUTHORITIES = ("securities and exchange board of india", "sebi", "government of india", "income tax department", "reserve bank of india", "rbi", "ministry of corporate affairs")
+#: labels that a model takes for organisations
+NO_COMPANIES = ("aadhaar", "address", "companies act", "credit card", "date of birth", "dob", "email", "inr", "ip", "ipv4", "pan", "phone", "ssn")
 COMMERCIAL = ("limited", "ltd", "private", "pvt", "llp", "bank", "securities", "technologies", "industries", "enterprise", "company", "corporation", "consultants", "services", "capital", "registrar", "associates")
 PHONE_CONTEXT = ("telephone", "phone", "mobile", "contact", "tel:", "fax")
 ADDRESS_TERMS = ("address", "registered office", "corporate office", "road", "street", "lane", "nagar", "colony", "floor", "building", "plot", "district", "sector", "village")

@@ -82,8 +82,8 @@ def _named(text: Column) -> Column:
     return F.transform(S.find_all(text, C.NAMED + C.NAME, ":"), cut)
 
 
-def _company(x: Column) -> Column:
-    return ~S.normalized(x["v"]).isin(*C.PUBLIC_AUTHORITIES)
+def _company(x: Column, labels: tuple[str, ...] = ()) -> Column:
+    return ~S.normalized(x["v"]).isin(*C.PUBLIC_AUTHORITIES, *labels)
 
 
 RECOGNIZERS = (
@@ -103,7 +103,7 @@ RECOGNIZERS = (
     Recognizer("PERSON", "known_person", "GAZETTEER", lambda t: S.find_all(t, "(?i)" + "|".join(C.KNOWN_PERSONS), "(?i)hegde|shetty"), _always(0.93)),
     Recognizer("ADDRESS", "address_context", "CONTEXT", _address, _always(0.85)),
     Recognizer("PERSON", "named_person", "NER", _named, _always(0.82)),
-    Recognizer("COMPANY", "organisation", "NER", lambda t: S.find_all(t, "(?U)" + C.COMPANY, "Limited|Ltd|LLP|Inc|Corp"), lambda x, t, low: F.when(_company(x), F.when(S.has_any(S.folded(x["v"]), C.COMMERCIAL), 0.85).otherwise(0.60))),
+    Recognizer("COMPANY", "organisation", "NER", lambda t: S.find_all(t, "(?U)" + C.COMPANY, "Limited|Ltd|LLP|Inc|Corp"), lambda x, t, low: F.when(_company(x, C.NO_COMPANIES), F.when(S.has_any(S.folded(x["v"]), C.COMMERCIAL), 0.85).otherwise(0.60))),
 )
 
 

@@ -107,6 +107,8 @@ def with_value(records: DataFrame, seed: bytes, mode: str = "synthetic") -> Data
 
 def with_replacement(records: DataFrame, seed: bytes, mode: str = "synthetic") -> DataFrame:
     """replacement_value of records to redact: that of the first such record with the same type and normalized text."""
-    by = Window.partitionBy("pii_type", "normalized_text", "policy_action").orderBy("document_part", "block_id", "start_offset", "pii_type")
+    # other records stand alone, so that their values are not sorted together
+    alike = F.when(F.col("policy_action") == "REDACT", F.col("normalized_text")).otherwise(F.col("record_id"))
+    by = Window.partitionBy("pii_type", alike, "policy_action").orderBy("document_part", "block_id", "start_offset", "pii_type")
     rows = with_value(records, seed, mode)
     return rows.withColumn("replacement_value", F.when(F.col("policy_action") == "REDACT", F.first("value").over(by))).drop("value", "given", "surname", "stem", "descriptor", "number", "index")

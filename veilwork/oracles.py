@@ -99,7 +99,7 @@ address_b AS (SELECT *, length(text) - length(trimmed) AS s, regexp_replace(stri
 address AS (SELECT block_id, text, low, CAST(s AS INTEGER) AS s, CAST(s + length(v) AS INTEGER) AS e, v FROM address_b WHERE length(trim(v)) >= 12)""", "0.85", "ADDRESS", "CONTEXT", "address_context"),
     ("named", _found("named_f", C.NAMED + C.NAME, "contains(text, ':')") + f""",
 named AS (SELECT block_id, text, low, CAST(e - length(w) AS INTEGER) AS s, e, w AS v FROM (SELECT *, regexp_replace(v, {q('^' + C.NAMED)}, '') AS w FROM named_f))""", "0.82", "PERSON", "NER", "named_person"),
-    ("organisation", "organisation AS (SELECT * FROM company)", f"CASE WHEN {NORM} IN {PUBLIC} THEN NULL WHEN {' OR '.join(f'contains(lower(v), {q(t)})' for t in C.COMMERCIAL)} THEN 0.85 ELSE 0.60 END", "COMPANY", "NER", "organisation"),
+    ("organisation", "organisation AS (SELECT * FROM company)", f"CASE WHEN {NORM} IN {C.PUBLIC_AUTHORITIES + C.NO_COMPANIES} THEN NULL WHEN {' OR '.join(f'contains(lower(v), {q(t)})' for t in C.COMMERCIAL)} THEN 0.85 ELSE 0.60 END", "COMPANY", "NER", "organisation"),
 ]
 
 
