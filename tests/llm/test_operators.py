@@ -381,6 +381,20 @@ def test_sketch_merges_and_estimates():
     assert m.tolist() == [[len(a), 0, len(np.intersect1d(a, b))], [len(np.intersect1d(a, b)), 0, len(b)]]
 
 
+def test_sieve_misses_no_key(spark, monkeypatch):
+    from veilwork.llm import common
+
+    df = spark.createDataFrame([(k if k % 7 else None, "t", k) for k in range(3000)], "doc_id long, text string, _m long").repartition(3)
+    for slots, n in ((1 << 18, 40), (4, 40), (4, 2900), (1 << 18, 0)):
+        monkeypatch.setattr(common, "SLOTS", slots)
+        ids = spark.createDataFrame([(k * 3,) for k in range(n)], "doc_id long")
+        maybe, never = ([r._m for r in x.collect()] for x in common.sifted(df, ids, "doc_id"))
+        there = {k * 3 for k in range(n)}
+        assert sorted(maybe + never) == list(range(3000)) and not {m for m in never if m % 7} & there
+        assert len(maybe) < 200 or slots == 4
+        assert sorted(r._m for r in common.without(df, ids, "doc_id").collect()) == [m for m in range(3000) if not m % 7 or m not in there]
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(130)] + [(k, k + 1) for k in range(300, 340)] + [(500, 500), (None, 3)]

@@ -11,6 +11,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[2]
 _SHIPPED: set[str] = set()
@@ -22,6 +23,8 @@ BATCHES = {
 }
 #: bytes of a row group of stored rows, which the writer holds in memory
 ROW_GROUP = 16 << 20
+#: numbers of 64 bits in the sieve of sifted()
+SLOTS = 1 << 18
 
 
 def ship(spark: SparkSession) -> None:
@@ -81,3 +84,23 @@ def stored(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sifted(df: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be in column `key` of ids, rows whose key is not there): keeps long rows out of a shuffle.
+
+    The sieve is a table of at most SLOTS numbers of 64 bits, one bit for each hash, which is broadcast; its size does not
+    grow with ids. If they are many, more rows pass as possible, in the end all; none that is there is ever missed.
+    """
+    h = F.xxhash64(key)
+    slot, bit = F.pmod(h, F.lit(SLOTS)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int")
+    bits = ids.select(slot.alias("_slot"), bit.alias("_bit")).groupBy("_slot").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    marked = df.withColumns({"_own": slot, "_at": bit}).join(F.broadcast(stored(bits)), F.col("_own") == F.col("_slot"), "left")
+    maybe = F.coalesce(F.bit_get("_bits", F.col("_at")) == 1, F.lit(False))
+    return marked.where(maybe).select(*df.columns), marked.where(~maybe).select(*df.columns)
+
+
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not in ids, null ones included; only those that may be there are shuffled."""
+    maybe, never = sifted(df, ids, key)
+    return never.unionByName(maybe.join(ids.select(key).distinct(), key, "left_anti").select(*df.columns))

@@ -282,5 +282,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     Rows without a key stay, and null and empty texts; where a key repeats, one contaminated row takes all of its rows
     along. An empty benchmark leaves all.
     """
-    bad = match(docs, benchmark, key, text).where("contaminated").select(key).distinct()
-    return docs.join(bad, key, "left_anti").select(*docs.columns)
+    bad = common.stored(match(docs, benchmark, key, text).where("contaminated").select(key).distinct())
+    return common.without(docs, bad, key)

@@ -154,7 +154,8 @@ def candidates(ids: DataFrame, classes: DataFrame, docs: DataFrame, key: str, te
                 yield pa.RecordBatch.from_arrays([*[c.column(x).take(pa.array(own)) for x in ("id", "s1", "n", "sketch")], pa.array(z, pa.binary())], names=["id", "s1", "n", "sketch", "z"])
 
     wanted = classes.join(ids.distinct(), "id").select("id", "n", "sketch", "s1", "s2")
-    full = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id")
+    maybe, _ = common.sifted(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), wanted, "id")
+    full = maybe.join(wanted, "id")
     out = common.stored(full.select("id", "n", "sketch", "s1", "s2", "text").mapInArrow(packed, f"id {_kind(classes, 'id')}, s1 long, n long, sketch binary, z binary"))
     many = out.groupBy("id", "s1").agg(F.count("*").alias("m")).where("m > 1")
     if many.isEmpty():
@@ -325,6 +326,9 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     found = common.stored(groups(docs, key, text))
     gone = found.where("NOT kept").select(key).distinct()
     many = found.where(F.col("kept") & F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_m")).where("_m > 1").select(key)
-    kept = docs.join(gone, key, "left_anti").select(*docs.columns)
-    one = kept.join(many, key, "left_semi").groupBy(key).agg(F.min(F.struct(F.col(text).alias("_t"), F.struct(*docs.columns).alias("_r"))).alias("_x")).select("_x._r.*")
-    return kept.join(many, key, "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+    if many.isEmpty():
+        return common.without(docs, gone, key)
+    many = common.stored(many.join(gone, key, "left_anti"))
+    maybe, _ = common.sifted(docs, many, key)
+    one = maybe.join(many, key, "left_semi").groupBy(key).agg(F.min(F.struct(F.col(text).alias("_t"), F.struct(*docs.columns).alias("_r"))).alias("_x")).select("_x._r.*")
+    return common.without(docs, gone.unionByName(many), key).unionByName(one.select(*docs.columns))

@@ -94,7 +94,9 @@ def windows(docs: DataFrame, hits: DataFrame, key: str, text: str, window: int,
                 yield pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
                 _uid += high - low
 
-    joined = docs.join(hits, key, "left").select(*docs.columns, "_anchors")
+    # rows without a recurring anchor need no shuffle
+    maybe, never = common.sifted(docs, hits, key)
+    joined = maybe.join(hits, key, "left").select(*docs.columns, "_anchors").unionByName(never.withColumn("_anchors", F.lit(None).cast("array<long>")))
     schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema)
     return common.stored(joined.mapInArrow(run, schema + ", _uid long, _n long, _sha string, _hashes array<long>, _places array<int>"))
 
@@ -188,7 +190,7 @@ def covered(docs: DataFrame, key: str, text: str, window: int, keep: bool) -> Da
     # 1. anchors that stand in two documents; rows without key neither give nor lose words
     every = anchors(docs.where(id_.isNotNull()), key, text, window, anchor)
     again = every.groupBy("anchor").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo < hi").select("anchor")
-    hits = every.join(again, "anchor").groupBy(key).agg(F.collect_set("anchor").alias("_anchors"))
+    hits = common.stored(every.join(again, "anchor").groupBy(key).agg(F.collect_set("anchor").alias("_anchors")))
     held = windows(docs, hits, key, text, window, anchor, keep)
     # 2. windows confirmed to recur, the first document of each, and one place there
     rows = held.where(id_.isNotNull() & (F.size("_hashes") > 0)).select("_uid", id_.alias("_key"), F.explode(F.arrays_zip("_hashes", "_places")).alias("w")).select("_uid", "_key", F.col("w._hashes").alias("h"), F.col("w._places").alias("place"))
