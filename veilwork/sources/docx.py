@@ -321,8 +321,9 @@ def redacted(packages: DataFrame, records: DataFrame, images: DataFrame | None =
     """(document, content) with every replacement of the records written into its package, and each image of `images`
     (document, media_name, width, height) replaced by a placeholder."""
     spans = records.where("replacement_value IS NOT NULL AND NOT contains(block_id, '!media:')").groupBy("document").agg(F.collect_list(F.struct("block_id", "start_offset", "end_offset", "replacement_value")).alias("spans"))
-    # in external targets, the last replacement of an original counts, those of images included
-    last = records.where("replacement_value IS NOT NULL").groupBy("document", "original_text").agg(F.max_by("replacement_value", F.struct("block_id", "start_offset")).alias("v"))
+    # in external targets, the last replacement of an original counts, those of images included; none without originals
+    known = records if "original_text" in records.columns else records.withColumn("original_text", F.lit(None).cast("string"))
+    last = known.where("original_text IS NOT NULL").where("replacement_value IS NOT NULL").groupBy("document", "original_text").agg(F.max_by("replacement_value", F.struct("block_id", "start_offset")).alias("v"))
     rows = packages.join(spans, "document", "left").join(last.groupBy("document").agg(F.map_from_entries(F.collect_list(F.struct("original_text", "v"))).alias("values")), "document", "left")
     if images is None:
         rows = rows.withColumn("images", F.lit(None).cast("array<struct<media_name:string,width:int,height:int>>"))
