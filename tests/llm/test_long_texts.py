@@ -50,7 +50,7 @@ def test_quality_and_scores(spark, docs, rows):
     model = quality.fit(docs, spark.createDataFrame([(k, k % 2) for k in range(9)], "doc_id long, quality int"))
     got = {r.doc_id: r.score for r in quality.classify(docs, model).collect()}
     assert all(abs(got[k] - plain_score(model, t)) < 1e-3 for k, t in rows if k != 8)
-    one = {r.doc_id: r for r in lm.whole_score(docs, docs.where("doc_id = 5").select("text")).collect()}
+    one = {r.doc_id: r for r in lm.score(docs, docs.where("doc_id = 5").select("text")).collect()}
     assert {k: r.n_tokens for k, r in one.items()} == {k: len((t or "").split()) for k, t in rows}
     assert one[1].score == pytest.approx(one[4].score) and one[5].score < one[1].score
 
@@ -82,7 +82,7 @@ def test_string_keys_and_one_key_with_two_texts(spark, rows):
     bench = spark.createDataFrame(items, "item_id int, text string")
     assert key(tuple(r)[:6] for r in decontaminate.match(docs, bench).collect()) == key(contamination(some, items))
     assert {r.doc_id for r in neardup.first_of_each(docs).collect()} == {"k0", "k2", "k5", "k9", None}
-    assert Counter(r.doc_id for r in lm.whole_score(docs, bench).collect()) == Counter(k for k, _ in some)
+    assert Counter(r.doc_id for r in lm.score(docs, bench).collect()) == Counter(k for k, _ in some)
     assert Counter(r.doc_id for r in packing.pack(docs, queries.vocabulary()).where("start = 0").collect()) == Counter(k for k, _ in some)
 
 

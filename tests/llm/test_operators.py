@@ -77,45 +77,10 @@ def test_words_and_hashes_agree_with_plain_split():
 # 1 ---------------------------------------------------------------------------------------------------------------
 
 
-def test_lm_scoring_matches_brute_force(spark, docs, none):
-    target = spark.createDataFrame([(1, prose(1, 40)), (2, None)], "item_id long, text string")
-    got = {(r[0], r[1]): r for r in lm.score(docs, target).collect()}
-    words = [[w.decode() for w in low(t).encode().split()] for _, t in corpus()]
-    known = set(prose(1, 40).split())
-    model = []
-    for texts in ([prose(1, 40).split()], words):
-        two, one = Counter(), Counter()
-        for t in texts:
-            ids = [w if w in known else None for w in t]
-            for a, b in zip(["<s>", *ids], ids, strict=False):
-                two[a, b] += 1
-                one[b] += 1
-        of = Counter()
-        for (a, _), n in two.items():
-            of[a] += n
-        total = sum(one.values()) + lm.VOCABULARY - 1 + 1e-9
-        model.append((two, one, of, total))
-
-    def loss(m, t):
-        two, one, of, total = m
-        ids, out = [w if w in known else None for w in t], 0.0
-        for a, b in zip(["<s>", *ids], ids, strict=False):
-            p = (one[b] + 1) / total
-            out -= math.log(0.7 * two[a, b] / of[a] + 0.3 * p if of[a] else p)
-        return out / max(1, len(t))
-
-    for (k, _), t in zip(corpus(), words, strict=True):
-        r = got[k, len(t)]
-        assert r.target_loss == pytest.approx(loss(model[0], t), rel=1e-4)
-        assert r.score == pytest.approx(loss(model[0], t) - loss(model[1], t), abs=1e-3)
-    assert lm.score(none, target).count() == 0
-    assert lm.score(docs, target.limit(0)).count() == len(corpus())
-
-
 def test_lm_scoring_knows_every_word(spark, docs, none):
     asked = [prose(1, 40), None, "one three"]
     target = spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")
-    got = {(r.doc_id, r.n_tokens): r for r in lm.whole_score(docs, target).collect()}
+    got = {(r.doc_id, r.n_tokens): r for r in lm.score(docs, target).collect()}
     texts = [[[w.decode() for w in low(t).encode().split()] for t in some] for some in (asked, [t for _, t in corpus()])]
     different = len({w for some in texts for t in some for w in t})
 
@@ -132,8 +97,8 @@ def test_lm_scoring_knows_every_word(spark, docs, none):
     assert len(want[0]) == len(got)
     for k, r in got.items():
         assert (r.target_loss, r.background_loss, r.score) == pytest.approx((want[0][k], want[1][k], want[0][k] - want[1][k]), abs=1e-9)
-    assert lm.whole_score(none, target).count() == 0
-    assert lm.whole_score(docs, target.limit(0)).count() == len(corpus())
+    assert lm.score(none, target).count() == 0
+    assert lm.score(docs, target.limit(0)).count() == len(corpus())
 
 
 def test_lm_query_tells_apart_words_outside_the_benchmark(spark, tmp_path):

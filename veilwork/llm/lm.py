@@ -12,100 +12,13 @@ from pyspark.sql import functions as F
 
 from . import common, text as T
 
-#: entries of the shared vocabulary: 0 is the start of a text, 1 any word outside it
-VOCABULARY, START, OTHER, BLEND = 2_048, 0, 1, 0.7
+#: weight of the pair's share in a probability
+BLEND = 0.7
 #: bytes of text in a block, whose n-grams are counted before they are sent; n-grams in a bucket, on average at most
 BLOCK, BUCKET = 4 << 20, 1 << 20
 _BEGIN, _WORD, _PAIR = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0xD6E8FEB86659FD93)
 
 
-def _codes(data: np.ndarray, at: np.ndarray, known: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """previous * VOCABULARY + word for every word, and the row of each."""
-    data = T.LOWER[data]
-    start, end, row = T.words(data, at, T.NOT_SPACE)
-    h = T.hashes(data, start, end)
-    if not len(h):
-        return np.zeros(0, np.int64), row
-    k = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-    word = np.where(known[k] == h, ids[k], OTHER) if len(known) else np.full(len(h), OTHER)
-    before = np.empty(len(word), np.int64)
-    before[0], before[1:] = START, np.where(row[1:] == row[:-1], word[:-1], START)
-    return before * VOCABULARY + word, row
-
-
-def _losses(counts: np.ndarray) -> np.ndarray:
-    """-log P(word | previous): bigrams blended with unigrams to which one is added."""
-    one = counts.sum(0) + 1.0
-    one[START] = 1e-9
-    one /= one.sum()
-    of = counts.sum(1, keepdims=True)
-    two = np.divide(counts, of, out=np.zeros_like(counts), where=of > 0)
-    return -np.log(np.where(of > 0, BLEND * two + (1 - BLEND) * one, one))
-
-
-def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens, target_loss, background_loss and score (their difference per token; less is nearer the target).
-
-    Words are runs without white space, A-Z lower-cased. The vocabulary is the target's most frequent words (ties by
-    hash), at most VOCABULARY - 2; both models have it and one form. The background is counted over every document, with
-    sums by partition before the shuffle; counts are at most VOCABULARY squared numbers, which bounds what the driver
-    gathers and broadcasts. Null or empty texts have n_tokens 0 and losses 0.0; repeated rows count as often as they
-    stand; other columns are dropped. An empty target leaves only the class of other words.
-    """
-    spark = docs.sparkSession
-    common.ship(spark)
-    base = docs.select(key, text)
-
-    def target_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, _, data, at in T.chunks(b.column(0)):
-                data = T.LOWER[data]
-                start, end, _ = T.words(data, at, T.NOT_SPACE)
-                h, n = np.unique(T.hashes(data, start, end), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
-
-    top = target.select(text).mapInArrow(target_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(VOCABULARY - 2)
-    known = np.sort(np.array([r[0] for r in top.collect()], np.int64).view(np.uint64))
-    ids = np.arange(2, len(known) + 2)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(VOCABULARY * VOCABULARY, np.int32)
-        for b in batches:
-            for _, _, data, at in T.chunks(b.column(0)):
-                code, n = np.unique(_codes(data, at, known, ids)[0], return_counts=True)
-                total[code] += n.astype(np.int32)
-                if len(n) and total[code].max() > 1 << 30:  # far from the type's end
-                    yield from emit(total)
-                    total[:] = 0
-        yield from emit(total)
-
-    def emit(total: np.ndarray) -> Iterator[pa.RecordBatch]:
-        code = np.flatnonzero(total)
-        for k in range(0, len(code), 200_000):
-            some = code[k : k + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some].astype(np.int64))], names=["code", "n"])
-
-    def counts(df: DataFrame) -> np.ndarray:
-        got = df.select(text).mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-        out = np.zeros(VOCABULARY * VOCABULARY)
-        out[got["code"].to_numpy()] = got["n"].to_numpy()
-        return out.reshape(VOCABULARY, VOCABULARY)
-
-    losses = [_losses(counts(df)).astype(np.float32).ravel() for df in (target, base)]
-    sent = spark.sparkContext.broadcast(losses)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near, far = sent.value
-        for b in batches:
-            for low, high, data, at in T.chunks(b.column(1)):
-                code, row = _codes(data, at, known, ids)
-                n = np.bincount(row, minlength=high - low)
-                a, z = (np.bincount(row, x[code], minlength=high - low) / np.maximum(1, n) for x in (near, far))
-                yield pa.RecordBatch.from_arrays([b.column(0)[low:high], pa.array(n), pa.array(a), pa.array(z), pa.array(a - z)], names=[key, "n_tokens", "target_loss", "background_loss", "score"])
-
-    return base.mapInArrow(run, f"`{key}` {base.schema[key].dataType.simpleString()}, n_tokens long, target_loss double, background_loss double, score double")
-
-
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows, the text last, in batches of about BLOCK bytes of text; a text is never split."""
     held, size = [], 0
@@ -132,7 +45,7 @@ def _hashes(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Grams:
-    """The n-grams of a block: words (START last) and pairs, with the place of each in the sorted order of all keys."""
+    """The n-grams of a block: words (the start of a text last) and pairs, with the place of each in the sorted order of all keys."""
 
     def __init__(self, b: pa.RecordBatch) -> None:
         h, self.row = _hashes(b)
@@ -165,8 +78,13 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield held
 
 
-def whole_score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The columns of score(), by models whose vocabulary is every word of docs and target.
+def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_tokens, target_loss, background_loss and score (their difference per token; less is nearer the target).
+
+    Words are runs without white space, A-Z lower-cased. Both models are bigram models of one form over one vocabulary, every
+    word of docs and target; the background is counted over every document. Null and empty texts have n_tokens 0 and losses
+    0.0; repeated rows count as often as they stand; null keys are rows like others; an empty table gives no rows, an empty
+    target a model in which all words are alike; other columns are dropped, whatever their names.
 
     P(word | previous) is BLEND times the share of the pair among those that begin with the previous word, and the rest
     times (count of the word + 1) / (words in all + different words in all); only the latter where a model never saw the
