@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.constants import BENCHMARK, SAMPLES
 from ..functions.spans import CLOSE, OPEN
 
+#: bytes of a table for each core, by its statistics, up to which it is dealt anew
+SHARE = 32 << 20
+
 
 def from_table(df: DataFrame, key: str = "doc_id", text: str = "text", part: str = "text") -> DataFrame:
     """One block for each line that is not blank: document_part, block_id, paragraph_index, text. Gaps in the index stay."""
     spark = df.sparkSession
-    if df.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism:  # a small table: its few files are dealt to all cores
-        df = df.select(key, text).repartition(spark.sparkContext.defaultParallelism)
+    cores = spark.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= cores * SHARE:  # a small table's few files are dealt to all cores
+        df = df.select(key, text).repartition(cores)
     lines = F.split(F.translate(F.col(text), OPEN + CLOSE, ""), "\n", -1)
     return df.select(F.lit(part).alias("document_part"), F.col(key).cast("string").alias("document"), F.posexplode(lines).alias("paragraph_index", "text")).where(F.trim("text") != "").select("document_part", "document", F.concat("document", F.lit("#p"), F.col("paragraph_index")).alias("block_id"), "paragraph_index", "text")
 
