@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -222,6 +223,94 @@ def plain_gif(media):
     return b"".join(out)
 
 
+def steps(run):
+    """Lines of gif.py that run() takes."""
+    count = 0
+
+    def trace(frame, event, _):
+        nonlocal count
+        if frame.f_code.co_filename != gif.__file__:
+            return None
+        count += event == "line"
+        return trace
+
+    before = sys.gettrace()
+    sys.settrace(trace)
+    try:
+        run()
+    finally:
+        sys.settrace(before)
+    return count
+
+
+def test_gifs_are_read_without_a_step_for_each_code():
+    text = prose(4, 3000).encode()
+    media = gif.encode(text + bytes(-len(text) % 64))
+    assert steps(lambda: list(gif.frames(media))) < len(media) / 10
+
+
+def codes_to_stream(codes, least):
+    """Codes packed by the book; the width grows with the reader's table and stays 12 once that is full."""
+    bits = at = 0
+    width, size = least + 1, 0
+    for c in codes:
+        bits, at = bits | c << at, at + width
+        if c == 1 << least:
+            width, size = least + 1, (1 << least) + 1
+        elif size < 4096:
+            size += 1
+            width += size == 1 << width and width < 12
+    return bits.to_bytes((at + 7) // 8, "little")
+
+
+@pytest.mark.parametrize("held", [1, 1 << 18])
+def test_lzw_streams_decoded_together(held, monkeypatch):
+    monkeypatch.setattr(gif, "CODES", held)
+    r = random.Random(8)
+    for least in (2, 5, 8):
+        clear, streams = 1 << least, []
+        for n in (0, 1, 40, 3000, 9000):  # the last two go on with a full table
+            codes, since = [clear, clear], 0
+            for _ in range(n):
+                top = min(clear + 1 + since, 4096)
+                codes.append(r.randrange(clear + 2, top) if since > 1 and r.random() < 0.5 and top > clear + 2 else r.randrange(clear))
+                since += 1
+                if n < 9000 and r.random() < 0.0005:
+                    codes.append(clear)
+                    since = 0
+            streams.append(codes_to_stream([*codes, clear + 1], least))
+        want = [plain_lzw(x, least) for x in streams]
+        assert [x.tobytes() for x in gif.lzw_decode_all(streams, least, [len(x) for x in want])] == want
+        assert [x.tobytes() for x in gif.lzw_decode_all(streams, least, [len(x) // 3 for x in want])] == [x[: len(x) // 3] for x in want]
+        with pytest.raises(ValueError):
+            gif.lzw_decode_all([*streams, codes_to_stream([clear, 0, clear + 3, clear + 1], least)], least, [*map(len, want), 9])
+
+
+def test_gifs_in_a_group_are_those_read_alone(monkeypatch):
+    r = random.Random(9)
+    payloads = [bytes(64), prose(1, 600).encode()[: 64 * 30], bytes(r.randrange(256) for _ in range(64 * 300)), bytes(64 * 70_000), "日本語 ".encode() * 64, b"ab" * 32 * 900]
+    media = list(gif.encode_all(payloads))
+    assert media == [gif.encode(x) for x in payloads] and [plain_gif(x) for x in media[:3]] == payloads[:3]
+    head = b"GIF89a" + (2).to_bytes(2, "little") + (8).to_bytes(2, "little") + b"\x80\0\0" + bytes([255, 0, 0, 0, 255, 0])
+    moving = head + block(0, 0, 2, 8, [0, 1] * 8) + block(0, 0, 1, 2, [1, 0], 2, 2, clear=0) + b"\x3b"
+    few, cut = head + block(0, 0, 2, 8, [0]) + b"\x3b", media[1][:-200]
+    bad = [head + b"\x2c" + bytes(4) + b"\x02\0\x08\0\0" + bytes([least, 4]) + codes_to_stream([256, 0, 300], 8) + b"\0\x3b" for least in (8, 13)]
+    values = [*media, moving, None, few, media[1], b"", cut, *bad, media[2]]
+
+    def seen(found):
+        try:
+            return [(f.start_ms, f.delay_ms, f.disposal, f.height, f.rgba.shape, f.rgba.tobytes()) for f in found]
+        except (ValueError, IndexError, TypeError) as e:
+            return type(e)
+
+    alone = [seen(gif.frames(x)) for x in values]
+    assert [isinstance(x, list) for x in alone] == [True] * 7 + [False, False, True] + [False] * 4 + [True]
+    for group in (1, 5000, 1 << 30):
+        monkeypatch.setattr(gif, "GROUP", group)
+        assert [seen(x) for x in gif.frames_of(values)] == alone
+        assert list(gif.encode_all(payloads)) == media
+
+
 def test_stored_gifs_by_an_independent_reader(docs):
     rows = gif.store_texts(docs.select("doc_id", "text")).collect()
     texts = defaultdict(list)
